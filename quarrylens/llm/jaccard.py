@@ -1,9 +1,12 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are similar, and their components.
 
 * Classes: documents with equal sets are one point, stood for by their smallest id.
-* Routing: two sets with Jaccard >= t share one of the first n - ceil(t n) + 1 shingles of any common order, so
-  points meet by those shingles.  The order puts shingles that are frequent in a bounded sample last; that only
-  decides where points meet, and any order gives the same links.
+* Routing: shingles have a common order (their hashes).  If A and B have Jaccard >= t, then in the order, up to
+  the 2 (1 - t) n + 2 first shingles of whichever ends first, more shingles are shared than not, so somewhere two
+  shared shingles follow each other directly in both.  Each point therefore is sent to the meeting places of its
+  neighbouring shingle pairs in that stretch, and no link can be missed.  Two shingles at once hardly ever meet
+  by chance, and a passage that documents have in common is broken up by the rest of their text.  Keys travel
+  packed, a blob for each batch and bucket.
 * Count vectors: shingles are hashed to GROUPS groups, and a point is its count in each.  Two sets cannot share
   more than the summed minima of their coordinates.  Points that meet are kept in a packed R-tree over these
   vectors; a search drops every node whose upper corner bounds the overlap below what the threshold needs.
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrylens.llm import textkit as tk
-from quarrylens.llm.components import components
+from quarrylens.operators.components import components
 from quarrylens.session import Scratch, ship_package
 
 GROUPS = 32
-SAMPLE_LEAST, SAMPLE_MOST, HINTS = 10_000, 1_000_000, 1_000_000
+DOCS_A_BUCKET = 1000  # a bucket gets about as many keys as this many documents have
 CHUNK = 1_500_000  # shingles of a cluster's chunk
 _LEAF = 16
-_SIG = "doc_id long, n_shingles long, k1 long, k2 long, counts binary, prefix array<long>"
+_SIG = "doc_id long, n_shingles long, k1 long, k2 long, counts binary"
 
 
 def needed(a, b, percent: int):
@@ -165,70 +168,111 @@ def forest(vectors: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.n
     return out
 
 
-def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle: those whose shingle comes more than once.  Holds one row between batches."""
-    last: tuple | None = None  # shingle, doc_id and whether it was sent already
-    for batch in batches:
-        token, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(token):
-            continue
-        sent = np.zeros(len(token) + (last is not None), bool)
-        if last is not None:
-            token, doc = np.append(last[0], token), np.append(last[1], doc)
-            sent[0] = last[2]
-        near = token[1:] == token[:-1]
-        good = np.append(near, False) | np.append(False, near)
-        now = good & ~sent
-        last = (token[-1], doc[-1], bool(good[-1] | sent[-1]))
-        if now.any():
-            yield pa.RecordBatch.from_arrays([pa.array(token[now]), pa.array(doc[now])], names=["shingle", "doc_id"])
+def _set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a shingle set."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 class Join:
-    """The steps that run in Python workers; hints are frequent shingles (sorted) and how frequent they are."""
+    """The steps that run in Python workers."""
 
-    def __init__(self, words: int, percent: int, hints: np.ndarray | None = None, often: np.ndarray | None = None):
-        self.words, self.percent = words, percent
-        self.hints, self.often = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if hints is None else (hints, often)
+    def __init__(self, words: int, percent: int, n_buckets: int = 64):
+        self.words, self.percent, self.n_buckets = words, percent, n_buckets
 
     def shingles(self, text: str | None) -> np.ndarray:
         return tk.shingle_set(tk.word_hashes(text, lower=True), self.words)
 
-    def prefix(self, s: np.ndarray) -> np.ndarray:
-        p = len(s) - -(-self.percent * len(s) // 100) + 1 if len(s) else 0
-        if not len(self.hints):
-            return s[:p]
-        at = np.minimum(np.searchsorted(self.hints, s), len(self.hints) - 1)
-        hot = self.hints[at] == s
-        rare = s[~hot][:p]
-        if len(rare) == p:
-            return rare
-        hot_s, hot_n = s[hot], self.often[at[hot]]
-        return np.concatenate((rare, hot_s[np.lexsort((hot_s, hot_n))][: p - len(rare)]))
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Meeting places of a set: its neighbouring pairs in the stretch that a link must share, 48 bits each."""
+        first = s[: 2 * (100 - self.percent) * len(s) // 100 + 2]
+        return tk.mix(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[1:]) >> np.uint64(16)
 
     def signatures(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ns, k1, k2, vectors, prefixes = [], [], [], [], [], []
+            ids, ns, k1, k2, vectors = [], [], [], [], []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = self.shingles(text)
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                ids.append(key), ns.append(len(s)), vectors.append(count_vector(s).tobytes())
-                k1.append(int.from_bytes(d[:8], "little", signed=True)), k2.append(int.from_bytes(d[8:], "little", signed=True))
-                prefixes.append(self.prefix(s).view(np.int64))
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32))
-            flat = pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64))
+                a, b = _set_key(s)
+                ids.append(key), ns.append(len(s)), k1.append(a), k2.append(b), vectors.append(count_vector(s).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vectors, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
+                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vectors, pa.binary())],
                 names=[x.split()[0] for x in _SIG.split(", ")],
             )
 
-    def sample(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """bucket and packed keys, set ids and documents, by batch; set ids (24 bits) tell copies of one set."""
+        for batch in batches:
+            keys, sets, docs, held = [], [], [], 0
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = self.shingles(text)
+                k = self.keys(s)
+                keys.append(k), sets.append(np.full(len(k), _set_key(s)[0] & 0xFFFFFF, np.uint32)), docs.append(np.full(len(k), key, np.int64))
+                held += len(k)
+                if held > 1 << 21:
+                    yield self._pack(keys, sets, docs)
+                    keys, sets, docs, held = [], [], [], 0
+            if held:
+                yield self._pack(keys, sets, docs)
+
+    def _pack(self, keys: list, sets: list, docs: list) -> pa.RecordBatch:
+        key, own, doc = np.concatenate(keys), np.concatenate(sets), np.concatenate(docs)
+        bucket = (key % np.uint64(self.n_buckets)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        key, own, doc, bucket = key[by], own[by], doc[by], bucket[by]
+        at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        blobs = []
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
+            six = key[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            three = own[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            blobs.append(six.tobytes() + three.tobytes() + doc[lo:hi].astype("<i8").tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    @staticmethod
+    def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = []
+        for blob in blobs:
+            n = len(blob) // 17
+            key, own = np.zeros((n, 8), np.uint8), np.zeros((n, 4), np.uint8)
+            key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
+            own[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, 6 * n).reshape(n, 3)
+            parts.append((key.view("<u8").ravel(), own.view("<u4").ravel(), np.frombuffer(blob, "<i8", n, 9 * n)))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def crowded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket: place and smallest document of each set, where two different sets meet."""
+        now, blobs = None, []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(self.shingles(text).view(np.int64))], names=["shingle"])
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and blobs:
+                    yield self._crowded(blobs)
+                    blobs = []
+                now = bucket
+                blobs.append(blob)
+        if blobs:
+            yield self._crowded(blobs)
+
+    def _crowded(self, blobs: list[bytes]) -> pa.RecordBatch:
+        key, own, doc = self._unpack(blobs)
+        by = np.argsort(key, kind="stable")
+        near = np.zeros(len(key), bool)
+        same = key[by][1:] == key[by][:-1]
+        near[1:] |= same
+        near[:-1] |= same
+        by = by[near]
+        key, own, doc = key[by], own[by], doc[by]
+        by = np.lexsort((doc, own, key))
+        key, own, doc = key[by], own[by], doc[by]
+        if len(key):
+            new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
+            key, doc = key[new], doc[new]
+            same = key[1:] == key[:-1]
+            keep = np.append(same, False) | np.append(False, same)
+            key, doc = key[keep], doc[keep]
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(doc)], names=["place", "doc_id"])
 
     def meet(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by shingle (and size): forests of the count-vector survivors of every meeting place."""
+        """Rows sorted by place (and size): forests of the count-vector survivors of every meeting place."""
         held: list[pa.RecordBatch] = []
         for batch in batches:
             token = batch.column(0).to_numpy()
@@ -280,41 +324,28 @@ class Join:
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
 
 
-def frequent_shingles(docs: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that at least three documents of a bounded sample have, and in how many; at most HINTS of them."""
-    n = docs.count()
-    want = min(SAMPLE_MOST, max(SAMPLE_LEAST, n // 50))
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, want / max(n, 1)))))
-    counts = part.select("text").mapInArrow(Join(words, percent).sample, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    rows = counts.orderBy(F.desc("n"), "shingle").limit(HINTS).toPandas()
-    keys = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(keys)
-    return keys[by], rows["n"].to_numpy(np.int64)[by]
-
-
 def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id that links reach) of every row."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    join = Join(words, percent, *frequent_shingles(rows, words, percent))
+    named = rows.where("doc_id is not null")
+    join = Join(words, percent, max(64, named.count() // DOCS_A_BUCKET))
     sig = scratch.table(rows.mapInArrow(join.signatures, _SIG), "signatures")
-    points = sig.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("point"))
-    points = sig.join(points, ["k1", "k2"]).where(F.col("doc_id") == F.col("point")).select("doc_id", "n_shingles", "counts", "prefix")
-    points = scratch.table(points, "points")
-    at = points.select(F.explode("prefix").alias("shingle"), "doc_id")
-    crowded = at.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_crowded, "shingle long, doc_id long")
-    met = crowded.join(points.select("doc_id", F.col("n_shingles").alias("n"), "counts"), "doc_id").select("shingle", "doc_id", "n", "counts")
-    survivors = met.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(join.meet, "a long, b long").distinct()
+    points = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "counts")
+    places = named.mapInArrow(join.places, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    crowded = places.mapInArrow(join.crowded, "place long, doc_id long")
+    met = crowded.join(points, "doc_id").select("place", "doc_id", "n", "counts")
+    survivors = met.repartition("place").sortWithinPartitions("place", "n").mapInArrow(join.meet, "a long, b long").distinct()
     clusters = components(survivors)
-    sized = clusters.join(points.select(F.col("doc_id").alias("node"), "n_shingles"), "node")
-    chunks = sized.groupBy("component").agg(F.ceil(F.sum("n_shingles") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    sized = clusters.join(points.select(F.col("doc_id").alias("node"), "n"), "node")
+    chunks = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("chunks"))
     placed = clusters.join(chunks, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     others = F.sequence(F.lit(0), F.col("chunks") - 1)
     task = F.explode(F.transform(others, lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))))
     placed = placed.select("node", "component", task.alias("t"))
-    whole = placed.select("component", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), F.col("node").alias("doc_id")).join(rows.where("doc_id is not null"), "doc_id")
+    whole = placed.select("component", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), F.col("node").alias("doc_id")).join(named, "doc_id")
     links = whole.select("component", "lo", "hi", "doc_id", "text").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(join.solve, "a long, b long")
     final = components(links)
     classes = sig.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
