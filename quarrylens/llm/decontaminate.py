@@ -5,9 +5,10 @@ cut into blocks that know their largest impact.  Impacts are BM25 term weights d
 so a unit's copy scores 1 and one threshold serves short and long items alike.
 
 Every training passage (PASSAGE tokens, half overlapping, so each unit lies whole in some passage) is a query
-that retrieves all units above the threshold, not a top k.  The WAND pivot rule with a fixed threshold says that
-a unit can only reach it with one of its essential terms (its other terms together stay below), so passages
-without any essential term are skipped by one lookup over all tokens; the rest go through block-max WAND.
+that retrieves all units above the threshold, not a top k.  The pivot rule of WAND with a fixed threshold says
+that a unit can only reach it if its essential terms (the heaviest, with ESSENTIAL of its total) bring in what the
+other terms together leave open.  That bound is taken for all passages of a document at once, on arrays; passages
+that pass it for some unit go through block-max WAND.
 Retrieved items are then verified on the whole document: five-word shingles of the item's question and of its
 answer (what follows the last question mark, or else the last quarter) must be found again.
 
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarrylens.llm import textkit as tk
 from quarrylens.session import ship_package
 
-UNIT, PASSAGE, THRESHOLD = 64, 128, 0.6
+UNIT, PASSAGE, THRESHOLD, ESSENTIAL = 64, 128, 0.6, 0.85
 SHINGLE, QUESTION_SHARE, ANSWER_SHARE = 5, 0.8, 0.5
 K1, B, BLOCK = 1.2, 0.75, 64
 SHARD_BYTES = 16 << 20
@@ -78,17 +79,25 @@ class ItemIndex:
         df = Counter(x for u in units for x in set(u.tolist()))
         mean = sum(map(len, units)) / max(len(units), 1)
         lists: dict[int, list[tuple[int, float]]] = {}
-        essential: set[int] = set()
+        essential: list[tuple[int, int, float]] = []
+        need = []
         for k, u in enumerate(units):
             counts = Counter(u.tolist())
             weight = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(u) / mean)) for t, n in counts.items()}
-            total, rest = sum(weight.values()), 1.0
+            total, mass = sum(weight.values()), 0.0
             for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
                 lists.setdefault(t, []).append((k, w / total))
-                if rest >= threshold:  # without the terms so far the unit could still reach the threshold
-                    essential.add(t)
-                rest -= w / total
-        self.essential = np.array(sorted(essential), np.uint64)
+                if mass < max(ESSENTIAL, 1.05 - threshold):
+                    essential.append((t, k, w / total))
+                    mass += w / total
+            need.append(threshold - (1 - mass) - 1e-9)
+        essential.sort()
+        term = np.array([t for t, _, _ in essential], np.uint64)
+        self.essential, first = np.unique(term, return_index=True)
+        self.first = np.append(first, len(term))
+        self.essential_unit = np.array([k for _, k, _ in essential], np.int64)
+        self.essential_impact = np.array([w for _, _, w in essential])
+        self.need = np.array(need)
         self.postings = {}
         for t, p in lists.items():
             ids, impact = np.array([k for k, _ in p], np.int64), np.array([w for _, w in p])
@@ -138,31 +147,44 @@ class ItemIndex:
             lists = [x for x in lists if x[1] < len(x[0][0])]
         return out
 
-    def leaks(self, text: str | None) -> tuple[list[int], float]:
-        """Ids of the items whose question and answer the document holds, and the best passage score."""
-        t = tokens(text)
-        if not len(t) or not len(self.essential):
-            return [], 0.0
+    def passages(self, t: np.ndarray, step: int) -> list[int]:
+        """Passages (of two steps each) in which the essential terms of some unit reach what it needs."""
         at = np.minimum(np.searchsorted(self.essential, t), len(self.essential) - 1)
         hot = np.flatnonzero(self.essential[at] == t)
         if not len(hot):
-            return [], 0.0
+            return []
+        lo, n = self.first[at[hot]], self.first[at[hot] + 1] - self.first[at[hot]]
+        posting = np.arange(int(n.sum())) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        place = np.repeat(hot // step, n)
+        once = np.unique(place * len(self.essential_unit) + posting)  # a term counts once in each step
+        place, posting = once // len(self.essential_unit), once % len(self.essential_unit)
+        n_units = len(self.need)
+        keys, back = np.unique(place * n_units + self.essential_unit[posting], return_inverse=True)
+        score = np.bincount(back, self.essential_impact[posting])
+        after = np.minimum(np.searchsorted(keys, keys + n_units), len(keys) - 1)
+        both = score + np.where(keys[after] == keys + n_units, score[after], 0.0)
+        return np.unique(keys[both >= self.need[keys % n_units]] // n_units).tolist()
+
+    def leaks(self, text: str | None) -> list[tuple[int, float]]:
+        """Ids of the items whose question and answer the document holds, each with its best passage's score."""
+        t = tokens(text)
+        if not len(t) or not len(self.essential):
+            return []
         step = PASSAGE // 2
-        windows = np.unique(np.concatenate((hot // step, hot // step - 1)))
         best: dict[int, float] = {}
-        for w in windows[windows >= 0].tolist():
+        for w in self.passages(t, step):
             for unit, score in self.retrieve(t[w * step : w * step + PASSAGE].tolist()).items():
                 item = self.unit_item[unit]
                 best[item] = max(best.get(item, 0.0), score)
         if not best:
-            return [], 0.0
+            return []
         have = tk.shingle_set(t, SHINGLE)
         found = []
         for item in sorted(best):
             question, answer = self.parts[item]
             if self._held(question, have, t) >= QUESTION_SHARE and self._held(answer, have, t) >= ANSWER_SHARE:
-                found.append(self.item_ids[item])
-        return found, max(best.values())
+                found.append((self.item_ids[item], best[item]))
+        return found
 
     @staticmethod
     def _held(part: np.ndarray, have: np.ndarray, t: np.ndarray) -> float:
@@ -176,43 +198,39 @@ class ItemIndex:
 
 
 class _Match:
-    def __init__(self, items: list[tuple[int, str]], threshold: float, n_kept: int):
-        self.items, self.threshold, self.n_kept = items, threshold, n_kept
+    def __init__(self, items: list[tuple[int, str]], threshold: float):
+        self.items, self.threshold = items, threshold
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(self.items, self.threshold)
         for batch in batches:
-            *kept, text, ids, score = batch.columns
-            out_ids, out_score = [], []
-            for t, i, s in zip(text, ids.to_pylist(), score.to_pylist(), strict=True):
-                found, best = index.leaks(t.as_py())
-                out_ids.append(i + found), out_score.append(max(s, best))
-            yield pa.RecordBatch.from_arrays([*kept, text, pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_score)], names=batch.schema.names)
+            *kept, text, hits = batch.columns
+            out = [had + [{"item_id": i, "score": round(x, 6)} for i, x in index.leaks(t.as_py())] for t, had in zip(text, hits.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*kept, text, pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])))], names=batch.schema.names)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, text, item_ids (sorted by shard, then id) and best_score of every row of docs."""
+    """The kept columns, _text and _hits (item and score, by shard, then item) of every row of docs."""
     ship_package(docs.sparkSession)
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_shards = max(1, -(-n_bytes // SHARD_BYTES))
-    out = docs.select(*keep, F.col("text").alias("_text"), F.array().cast("array<long>").alias("_item_ids"), F.lit(0.0).alias("_best_score"))
+    out = docs.select(*keep, F.col("text").alias("_text"), F.array().cast("array<struct<item_id:bigint,score:double>>").alias("_hits"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
     for shard in range(n_shards):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == shard).collect()  # about SHARD_BYTES
-        out = out.mapInArrow(_Match([(r.item_id, r.text) for r in part], threshold, len(keep)), kinds)
+        out = out.mapInArrow(_Match([(r.item_id, r.text) for r in part], threshold), kinds)
     return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, contaminated, n_items, item_ids (joined by commas) and best_score of every row."""
-    found = leaks(docs, benchmark, ("doc_id",), threshold)
-    ids = F.array_sort("_item_ids")
-    return found.select("doc_id", (F.size("_item_ids") > 0).alias("contaminated"), F.size("_item_ids").cast("long").alias("n_items"), F.array_join(F.transform(ids, lambda x: x.cast("string")), ",").alias("item_ids"), F.round("_best_score", 6).alias("best_score"))
+    """doc_id, item_id and score of every document and test item that it holds; clean documents have no row."""
+    hits = leaks(docs, benchmark, ("doc_id",), threshold).select("doc_id", F.explode("_hits").alias("h"))
+    return hits.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.score").alias("score"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no test item, all columns kept."""
     kept = tuple(c for c in docs.columns if c != "text")
-    found = leaks(docs, benchmark, kept, threshold).where(F.size("_item_ids") == 0)
+    found = leaks(docs, benchmark, kept, threshold).where(F.size("_hits") == 0)
     return found.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
