@@ -14,7 +14,12 @@ come first; an empty table gives an empty store; extra columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +33,7 @@ from quarrylens.session import Scratch, ship_package
 END_ID = 2
 STORE_SCHEMA = "part int, pos long, doc_id long, n_tokens long, ids array<int>"
 ORC_OPTIONS = {
-    "compression": "zstd",
+    "compression": "lz4",
     "orc.create.index": "true",
     "orc.row.index.stride": "1000",
     "orc.stripe.size": str(16 << 20),
@@ -39,8 +44,32 @@ _ENCODERS: dict[str, Encoder] = {}
 _CACHE_LIMIT = 400_000
 
 
+#: letters, digits and white space below U+0250, where the classes of all regex engines agree
+_LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t\\n\\x0b\\x0c\\r\\xa0"
+#: the byte-level split; contractions come after words and numbers, which cannot start with their quote
+_PIECE = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_WHITE}{_LETTER}{_DIGIT}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fɐ-\U0010ffff]")
+_SPACED, _BARE = re.compile(f" [{_LETTER}]+"), re.compile(f"[{_LETTER}]+")
+_BLOCK = 1 << 20  # characters that are encoded together
+
+
+class _Numbered(dict):
+    """Numbers keys in the order in which they are first asked for; new ones are noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
 class Encoder:
-    """Ids of texts by one tokenizer file; kept by the worker between tasks."""
+    """Ids of texts by one tokenizer file; kept by the worker between tasks.
+
+    known maps a pre-token to its row in ids/first, a table of id runs."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,18 +77,31 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-        self.pattern = self.odd = None
-        try:
-            import public_tokenizers
-            import regex
-
-            kind = str(self.lib.pre_tokenizer)
-            if self.lib.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind:
-                self.pattern = regex.compile(public_tokenizers.PATTERN)
-                self.odd = regex.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fɐ-\U0010ffff]")
-        except ImportError:
-            pass
+        kind = str(self.lib.pre_tokenizer)
+        self.by_piece = self.lib.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = _Numbered()
+        self.ids, self.first = np.zeros(0, np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.int32), np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _age(self) -> None:
+        """Make room: pieces that came only once since they were learned go, and counts of the rest are halved."""
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > _CACHE_LIMIT // 2:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: _CACHE_LIMIT // 2])
+        names, kept = list(self.known), _Numbered()
+        kept.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep)), strict=True))
+        self.ids, n = self._runs(keep)
+        self.known, self.first, self.used = kept, np.concatenate(([0], np.cumsum(n))), self.used[keep] // 2
+
+    def _runs(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces in these rows, one after another, and how many each has."""
+        lo = self.first[row]
+        n = self.first[row + 1] - lo
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return self.ids[at], n
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -68,63 +110,120 @@ class Encoder:
         return _ENCODERS[path]
 
     def __call__(self, text: str) -> list[int]:
-        if self.pattern is None or len(text) < 32 or self.odd.search(text):
-            return self.lib.encode(text, add_special_tokens=False).ids
-        known, out = self.known, []
-        if len(text) <= 1 << 20:
-            self._extend(self.pattern.findall(text), known, out)
-        else:  # bounded lists for very long texts
-            part: list[str] = []
-            for m in self.pattern.finditer(text):
-                part.append(m.group())
-                if len(part) == 1 << 17:
-                    self._extend(part, known, out)
-                    part = []
-            self._extend(part, known, out)
-        return out
-
-    def _extend(self, pieces: list[str], known: dict[str, list[int]], out: list[int]) -> None:
-        new = list(set(pieces).difference(known))
-        if new:
-            if len(known) + len(new) > _CACHE_LIMIT:
-                known.clear()
-                new = list(set(pieces))
-            known.update(zip(new, (e.ids for e in self.lib.encode_batch(new, add_special_tokens=False)), strict=True))
-        for ids in map(known.__getitem__, pieces):
-            out += ids
+        return self.block([text])[0].tolist()
+
+    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        plain = [self.by_piece and not _ODD.search(t) for t in texts]
+        pieces: list[str] = []
+        ends, parts, counts = [], {}, np.zeros(len(texts), np.int64)
+        for i, (t, ok) in enumerate(zip(texts, plain, strict=True)):
+            if ok and len(t) <= _BLOCK:
+                pieces += _PIECE.findall(t)
+            elif ok:
+                parts[i] = self._long(t)
+            else:
+                parts[i] = np.array(self.lib.encode(t, add_special_tokens=False).ids, np.int32)
+            ends.append(len(pieces))
+        flat, sizes = self._gather(pieces)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        ends = np.array([0, *ends])
+        counts[:] = at[ends[1:]] - at[ends[:-1]]
+        if not parts:
+            return flat, counts
+        out = []
+        for i in range(len(texts)):
+            run = parts.get(i, flat[at[ends[i]] : at[ends[i + 1]]])
+            counts[i] = len(run)
+            out.append(run)
+        return np.concatenate(out), counts
+
+    def _long(self, text: str) -> np.ndarray:
+        """A very long text by bounded lists of pieces."""
+        out, part, size = [], [], 0
+        for m in _PIECE.finditer(text):
+            part.append(m.group())
+            size += 1
+            if size == 1 << 18:
+                out.append(self._gather(part)[0])
+                part, size = [], 0
+        return np.concatenate([*out, self._gather(part)[0]])
+
+    def _gather(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and how many each has."""
+        if len(self.known) > _CACHE_LIMIT:
+            self._age()
+        row = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        self.used += np.bincount(row, minlength=len(self.used))
+        return self._runs(row)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new pieces, in order, from the library.  Words after a space, and words alone with a line
+        end between them, can be sent as one text: each stays a piece of its own there, and the library tells which piece an id belongs to."""
+        spaced, bare, rest = [], [], []
+        for i, p in enumerate(new):
+            (spaced if _SPACED.fullmatch(p) else bare if _BARE.fullmatch(p) else rest).append(i)
+        ids, sizes, order = [], [], []
+        groups = [(g[i : i + 500], between) for g, between in ((spaced, ""), (bare, "\n")) for i in range(0, len(g), 500)]
+        texts = [between.join(["", *(new[i] for i in g)]) for g, between in groups]
+        for (group, between), got in zip(groups, self.lib.encode_batch(texts, add_special_tokens=False), strict=True):
+            word, run = np.array(got.word_ids, np.int64), np.array(got.ids, np.int32)
+            if between:  # every second piece is a line end
+                run, word = run[word % 2 == 1], word[word % 2 == 1] // 2
+            n = np.bincount(word, minlength=len(group))
+            if len(n) != len(group) or not n.all():
+                rest += group
+                continue
+            ids.append(run), sizes.append(n), order.append(np.array(group))
+        runs = [e.ids for e in self.lib.encode_batch([new[i] for i in rest], add_special_tokens=False)]
+        ids.append(np.fromiter(itertools.chain.from_iterable(runs), np.int32)), sizes.append(np.fromiter(map(len, runs), np.int64, len(runs))), order.append(np.array(rest, np.int64))
+        flat, size, by = np.concatenate(ids), np.concatenate(sizes), np.argsort(np.concatenate(order))
+        lo, n = (np.cumsum(size) - size)[by], size[by]
+        at = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+        self.ids = np.concatenate((self.ids, flat[at].astype(self.ids.dtype)))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(n)))
+        self.used = np.concatenate((self.used, np.zeros(len(n), np.int64)))
+
+
+def _trim() -> None:
+    """Give memory that earlier tasks of this worker freed back to the system, where the C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 class _Write:
     def __init__(self, path: str, end_id: int | None):
-        self.path, self.end = path, [] if end_id is None else [end_id]
+        self.path, self.end = path, end_id
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, pos = Encoder.of(self.path), TaskContext.get().partitionId(), 0
+        encoder, part, pos = Encoder.of(self.path), TaskContext.get().partitionId(), 0
+        _trim()
+        gc.disable()  # millions of short-lived pieces and no cycles
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < batch.num_rows:
-                flat, ends = [], [0]
-                first = at
-                while at < batch.num_rows and len(flat) < 1 << 19:
-                    text = texts[at].as_py()
-                    flat += encode(text) if text else []
-                    flat += self.end
-                    ends.append(len(flat))
-                    at += 1
-                n = at - first
-                offsets = np.array(ends, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, part, np.int32)),
-                        pa.array(np.arange(pos, pos + n)),
-                        keys.slice(first, n),
-                        pa.array(np.diff(offsets)),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.array(flat, np.int32))),
-                    ],
-                    names=["part", "pos", "doc_id", "n_tokens", "ids"],
-                )
-                pos += n
+            texts, at, held = [], 0, 0
+            for lo in range(0, batch.num_rows, 256):  # few texts are Python strings at a time
+                for i, text in enumerate(batch.column(1).slice(lo, 256).to_pylist(), lo):
+                    texts.append(text or "")
+                    held += len(texts[-1])
+                    if held > _BLOCK or i == batch.num_rows - 1:
+                        yield self._rows(encoder, part, pos, batch.column(0).slice(at, len(texts)), texts)
+                        pos, at, texts, held = pos + len(texts), i + 1, [], 0
+
+    def _rows(self, encoder: Encoder, part: int, pos: int, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        flat, counts = encoder.block(texts)
+        if self.end is not None:
+            flat = np.insert(flat, np.cumsum(counts), self.end)
+            counts = counts + 1
+        offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+        n = len(texts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), keys, pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))],
+            names=["part", "pos", "doc_id", "n_tokens", "ids"],
+        )
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
