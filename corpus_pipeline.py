@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quarrylens.llm import decontaminate, jaccard, mixing, quality, tokenstore
 from quarrylens.llm.queries import table, tokenizer_path
@@ -18,11 +18,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of similar documents the one with the smallest id; documents without words, which link
-    to nothing, all stay.  Rows that repeat an id are one document: the one with the smallest text stays."""
+    """Keep of each group of similar documents the one with the smallest id; documents without words or without an
+    id, which a group cannot name, all stay.  Of rows that repeat an id the one with the smallest text stays."""
     groups = jaccard.similar_groups(docs, WORDS, PERCENT)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(F.col("_first")), "left_semi")
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi")
+    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
+    if repeats:
+        kept = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
