@@ -281,3 +281,21 @@ def test_stream_of_changes(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(folder))
         store.follow(spark.readStream.schema(schema).json(str(folder)), str(tmp_path / "ck")).awaitTermination()
     assert [(r.path, r.content) for r in store.rows().collect()] == [("a.py", "def a():\n    pass\n")] and store.version == 3
+
+
+def test_edits(spark):
+    from quarrylens.sources.edits import edits, input_edit
+
+    assert input_edit("same", "same") is None
+    e = input_edit("a\nbé1c\n", "a\nbé22c\n")
+    assert (e["start_byte"], e["old_end_byte"], e["new_end_byte"], e["start_row"], e["start_column"]) == (5, 6, 7, 1, 3)
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("ab\né", k=rng.randint(0, 12))) for _ in range(2))
+        e = input_edit(a, b)
+        x, y = a.encode(), b.encode()
+        if e:
+            assert x[: e["start_byte"]] + y[e["start_byte"] : e["new_end_byte"]] + x[e["old_end_byte"] :] == y
+    old = spark.createDataFrame([("p", "x = 1"), ("q", "same")], "path string, content string")
+    new = spark.createDataFrame([("p", "x = 12"), ("q", "same"), ("r", "new")], "path string, content string")
+    assert [(r.path, r.start_byte, r.old_end_byte, r.new_end_byte) for r in edits(old, new).collect()] == [("p", 5, 5, 6)]
