@@ -28,8 +28,15 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     )
 
 
+ROWS_A_BATCH = 2000  # rows are whole texts; Spark's own 10,000 make batches of tens of megabytes
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers once for each application."""
+    """Send this package to the Python workers once for each application, and keep their batches small unless the
+    session has its own setting."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size, "10000") == "10000":
+        spark.conf.set(size, str(ROWS_A_BATCH))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
