@@ -41,7 +41,7 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 _ENCODERS: dict[str, Encoder] = {}
-_CACHE_LIMIT = 400_000
+_CACHE_LIMIT = 350_000
 
 
 #: letters, digits and white space below U+0250, where the classes of all regex engines agree
@@ -191,6 +191,7 @@ class Encoder:
 def _trim() -> None:
     """Give memory that earlier tasks of this worker freed back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
