@@ -93,7 +93,10 @@ class Seeds:
         return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PROFILE.split(", ")])
 
     def extend(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of all windows whose anchor is among the shared anchors of their document."""
+        """Hashes of all windows whose anchor is among the shared anchors of their document.
+
+        A window that came earlier in its document goes for sure; such rows are marked and dealt evenly, so that a
+        word repeated ten thousand times does not meet in one task."""
         for batch in batches:
             for order, h1, text, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if text_key(text or "")[0] != h1:
@@ -102,10 +105,16 @@ class Seeds:
                 least, _ = self.of(words)
                 known = np.sort(np.array(shared, np.int64).view(np.uint64))
                 at = np.flatnonzero(known[np.minimum(np.searchsorted(known, least), len(known) - 1)] == least)
-                hashes = tk.window_hashes(words, self.window)[at].view(np.int64)
+                hashes = tk.window_hashes(words, self.window)[at]
+                again = np.ones(len(at), bool)
+                again[np.unique(hashes, return_index=True)[1]] = False
+                hashes[again] = tk.mix(at[again].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(order & _LAST))
+                hashes = hashes.view(np.int64)
                 for lo in range(0, len(at), _SLICE):
-                    n = len(at[lo : lo + _SLICE])
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes[lo : lo + _SLICE]), pa.array(np.full(n, order)), pa.array(np.full(n, h1)), pa.array(at[lo : lo + _SLICE].astype(np.int32))], names=["window", "place", "h1", "start"])
+                    part, n = slice(lo, lo + _SLICE), len(at[lo : lo + _SLICE])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes[part]), pa.array(np.full(n, order)), pa.array(np.full(n, h1)), pa.array(at[part].astype(np.int32)), pa.array(again[part])], names=["window", "place", "h1", "start", "again"]
+                    )
 
     def keep(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What is left of each document once the words of the windows at the given starts are gone."""
@@ -155,16 +164,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by window, place, h1, start: all but the first of each window."""
-    last = None
+    """Rows sorted by window, place, h1, start: all but the first of each window, and those marked."""
+    last: tuple | None = None
     for batch in batches:
-        window = batch.column(0).to_numpy()
-        if not len(window):
+        cols = [batch.column(i).to_numpy() for i in range(4)]
+        if not len(cols[0]):
             continue
-        again = np.zeros(len(window), bool)
-        again[1:] = window[1:] == window[:-1]
-        again[0] = last is not None and window[0] == last
-        last = window[-1]
+        before = [np.append(x[:1] if last is None else np.array([v], x.dtype), x[:-1]) for x, v in zip(cols, last or cols, strict=True)]
+        again = cols[0] == before[0]
+        if last is None:
+            again[0] = False
+        last = tuple(x[-1] for x in cols)
+        again &= ~np.logical_and.reduce([x == y for x, y in zip(cols, before, strict=True)])  # one document in two rows
+        again |= batch.column(4).to_numpy(zero_copy_only=False)
         if again.any():
             mask = pa.array(again)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (1, 2, 3)], names=["place", "h1", "start"])
@@ -182,7 +194,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor", "h1", "place").mapInArrow(_shared, "place long, h1 long, anchor long")
     chosen = shared.groupBy("place", "h1").agg(F.collect_list("anchor").alias("shared"))  # at most a document's own anchors
     involved = scratch.table(rows.select(place, "text").join(chosen, "place").select("place", "h1", "text", "shared"), "involved")
-    windows = involved.mapInArrow(seeds.extend, "window long, place long, h1 long, start int")
+    windows = involved.mapInArrow(seeds.extend, "window long, place long, h1 long, start int, again boolean")
     later = windows.repartition("window").sortWithinPartitions("window", "place", "h1", "start").mapInArrow(_later, "place long, h1 long, start int")
     starts = later.groupBy("place", "h1").agg(F.collect_set("start").alias("starts"))
     left = involved.select("place", "h1", "text").join(starts, ["place", "h1"]).mapInArrow(seeds.keep, "place long, h1 long, n_removed long, kept_sha256 string, kept string")
