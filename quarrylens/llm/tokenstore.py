@@ -41,7 +41,7 @@ ORC_OPTIONS = {
     "orc.bloom.filter.fpp": "0.01",
 }
 _ENCODERS: dict[str, Encoder] = {}
-_CACHE_LIMIT = 350_000
+_CACHE_LIMIT = 650_000
 
 
 #: letters, digits and white space below U+0250, where the classes of all regex engines agree
