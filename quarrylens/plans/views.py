@@ -36,9 +36,10 @@ SYMBOLS = """v_symbols AS (SELECT p_name AS name, p_type || '/' || p_brand || '.
   CASE WHEN p_size % 2 = 0 THEN 'public' ELSE 'private' END AS visibility FROM part)"""
 
 
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem of large quantities as calls from the part's file to the name of another part."""
-    li = table(spark, sf_dir, "lineitem").where("l_quantity >= 46")
+def references(spark: SparkSession, sf_dir: str, least: int | None = 46) -> DataFrame:
+    """lineitem, of large quantities or (least is None) all of it, as calls from the part's file to the name of another part."""
+    li = table(spark, sf_dir, "lineitem")
+    li = li if least is None else li.where(F.col("l_quantity") >= least)
     p = table(spark, sf_dir, "part")
     a = p.select(F.col("p_partkey").alias("l_partkey"), F.concat("p_type", F.lit("/"), "p_brand", F.lit(".ts")).alias("source_file"), F.col("p_name").alias("source_symbol"))
     b = p.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_name").alias("callee"))
@@ -56,11 +57,12 @@ REFERENCES = """v_refs AS (SELECT a.p_name AS source_symbol, a.p_type || '/' ||
   FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey WHERE l_quantity >= 46)"""
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    """Distinct edges from a part to the next part of its order, for rows of at least some quantity."""
+def edges(spark: SparkSession, sf_dir: str, least: int | None) -> DataFrame:
+    """Distinct edges from a part to the next part of its order, for rows of at least some quantity or (None) all."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     li = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_partkey").cast("string").alias("src"), F.lead("l_partkey").over(w).cast("string").alias("dst"), (1 - F.col("l_discount")).alias("c"))
-    e = li.where((F.col("l_quantity") >= least) & F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
+    li = li if least is None else li.where(F.col("l_quantity") >= least)
+    e = li.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     return e.groupBy("src", "dst").agg(F.max("c").alias("confidence")).withColumn("kind", F.lit("calls"))
 
 
