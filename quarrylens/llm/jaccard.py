@@ -201,13 +201,13 @@ class Join:
             )
 
     def places(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """bucket and packed keys, set ids and documents, by batch; set ids (24 bits) tell copies of one set."""
+        """bucket and packed keys, set ids and documents, by batch; set ids (64 bits) tell copies of one set."""
         for batch in batches:
             keys, sets, docs, held = [], [], [], 0
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = self.shingles(text)
                 k = self.keys(s)
-                keys.append(k), sets.append(np.full(len(k), _set_key(s)[0] & 0xFFFFFF, np.uint32)), docs.append(np.full(len(k), key, np.int64))
+                keys.append(k), sets.append(np.full(len(k), _set_key(s)[0], np.int64)), docs.append(np.full(len(k), key, np.int64))
                 held += len(k)
                 if held > 1 << 21:
                     yield self._pack(keys, sets, docs)
@@ -224,19 +224,17 @@ class Join:
         blobs = []
         for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
             six = key[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            three = own[lo:hi].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            blobs.append(six.tobytes() + three.tobytes() + doc[lo:hi].astype("<i8").tobytes())
+            blobs.append(six.tobytes() + own[lo:hi].astype("<i8").tobytes() + doc[lo:hi].astype("<i8").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     @staticmethod
     def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         parts = []
         for blob in blobs:
-            n = len(blob) // 17
-            key, own = np.zeros((n, 8), np.uint8), np.zeros((n, 4), np.uint8)
+            n = len(blob) // 22
+            key = np.zeros((n, 8), np.uint8)
             key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
-            own[:, :3] = np.frombuffer(blob, np.uint8, 3 * n, 6 * n).reshape(n, 3)
-            parts.append((key.view("<u8").ravel(), own.view("<u4").ravel(), np.frombuffer(blob, "<i8", n, 9 * n)))
+            parts.append((key.view("<u8").ravel(), np.frombuffer(blob, "<i8", n, 6 * n), np.frombuffer(blob, "<i8", n, 14 * n)))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def crowded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
