@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylens.llm import decontaminate, jaccard, mixing, quality, tokenstore
 from quarrylens.llm.queries import table, tokenizer_path
@@ -19,16 +19,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of similar documents the one with the smallest id; documents without words or without an
-    id, which a group cannot name, all stay.  Of rows that repeat an id the one with the smallest text stays."""
-    groups = jaccard.similar_groups(docs, WORDS, PERCENT)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi")
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1)
-    if repeats:
-        kept = kept.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_row = 1").drop("_row")
+    id, which a group cannot name, all stay.  Rows that share an id but not their text are documents of their own, in
+    text order; of rows that repeat both, one stays."""
+    named = docs.where("doc_id is not null")
+    if not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
+        kept = docs.join(_firsts(named), docs["doc_id"] == F.col("_first"), "left_semi")
+        return kept.unionByName(docs.where("doc_id is null"))
+    whole = named.dropDuplicates(["doc_id", "text"]).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    rows = Scratch(spark, "near_copies").table(whole.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = rows.join(_firsts(rows.select(F.col("_row").alias("doc_id"), "text")), F.col("_row") == F.col("_first"), "left_semi").drop("_row")
     return kept.unionByName(docs.where("doc_id is null"))
 
 
+def _firsts(docs: DataFrame) -> DataFrame:
+    """The smallest id of each group, as _first."""
+    groups = jaccard.similar_groups(docs, WORDS, PERCENT)
+    return groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first"))
+
+
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a test item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))

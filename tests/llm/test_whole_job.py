@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 
+import corpus_pipeline
 from quarrylens.llm import jaccard
 
 
@@ -14,3 +15,12 @@ def test_jaccard_sets_that_agree_in_24_bits_stay_apart(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
     met = next(join.crowded(join.places(iter([batch]))))
     assert set(met.column("doc_id").to_pylist()) == {0, 1, 2, 3}  # 9 is a copy of 0
+
+
+def test_near_copies_keep_rows_that_share_an_id(spark, sf_small):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (7, near), (7, "a text of its own that nothing else holds"), (7, "one more text that stands alone here"), (7, None), (7, "one more text that stands alone here"), (8, near), (None, near)]
+    kept = corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_small).collect()
+    want = [rows[0], rows[2], rows[3], rows[4], rows[7]]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
