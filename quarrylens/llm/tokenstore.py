@@ -6,7 +6,8 @@ parallel.  Text is moved once, token ids never.
 
 Encoding is the tokenizers library's.  A byte-level vocabulary encodes every pre-token on its own, so pre-tokens
 that were seen before come from a table in the worker and only new ones go through the library; texts with
-control characters or letters beyond U+024F, where regex engines may differ in class tables, go to it whole.
+control characters or letters beyond U+024F, where regex engines may differ in class tables, go to it whole, and so do
+texts that hold an added token such as <|endoftext|>, which becomes that token's id in a store, as in the library.
 
 Defined results: a null text is stored as its end id alone; rows with equal ids stand in text order; null ids
 come first; an empty table gives an empty store; extra columns are ignored.
@@ -40,7 +41,7 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _CACHE_LIMIT = 650_000
 
 
@@ -69,16 +70,20 @@ class _Numbered(dict):
 class Encoder:
     """Ids of texts by one tokenizer file; kept by the worker between tasks.
 
-    known maps a pre-token to its row in ids/first, a table of id runs."""
+    known maps a pre-token to its row in ids/first, a table of id runs.  With literal, an added token in a text is
+    plain text; without, as in stores, it is the token, as the library has it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.lib.encode_special_tokens = literal
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values() if not (literal and t.special)]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         kind = str(self.lib.pre_tokenizer)
         self.by_piece = self.lib.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
+        self.by_piece &= not any(re.fullmatch(f"[{_LETTER} \n]*", t) for t in added)  # words sent together could make one
         self._clear()
 
     def _clear(self) -> None:
@@ -104,17 +109,17 @@ class Encoder:
         return self.ids[at], n
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
+    def of(cls, path: str, literal: bool = True) -> Encoder:
+        if (path, literal) not in _ENCODERS:
+            _ENCODERS[path, literal] = cls(path, literal)
+        return _ENCODERS[path, literal]
 
     def __call__(self, text: str) -> list[int]:
         return self.block([text])[0].tolist()
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
-        plain = [self.by_piece and not _ODD.search(t) for t in texts]
+        plain = [self.by_piece and not _ODD.search(t) and not (self.added and self.added.search(t)) for t in texts]
         pieces: list[str] = []
         ends, parts, counts = [], {}, np.zeros(len(texts), np.int64)
         for i, (t, ok) in enumerate(zip(texts, plain, strict=True)):
@@ -201,7 +206,7 @@ class _Write:
         self.path, self.end = path, end_id
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, pos = Encoder.of(self.path), TaskContext.get().partitionId(), 0
+        encoder, part, pos = Encoder.of(self.path, literal=False), TaskContext.get().partitionId(), 0
         _trim()
         gc.disable()  # millions of short-lived pieces and no cycles
         for batch in batches:

@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 import corpus_pipeline
-from quarrylens.llm import jaccard
+from quarrylens.llm import jaccard, queries, tokenstore
 
 
 def test_jaccard_sets_that_agree_in_24_bits_stay_apart(monkeypatch):
@@ -24,3 +24,15 @@ def test_near_copies_keep_rows_that_share_an_id(spark, sf_small):
     kept = corpus_pipeline.near_copy_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_small).collect()
     want = [rows[0], rows[2], rows[3], rows[4], rows[7]]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_token_output_is_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.tokenizer_path())
+    rows = [(1, "some words"), (2, "a <|endoftext|> b"), (3, "<|endoftext|>"), (4, "x " * 600_000 + "<|endoftext|>"), (5, "<|endoftext|>ü日本")]
+    want = {i: [*lib.encode(t, add_special_tokens=False).ids, tokenstore.END_ID] for i, t in rows}
+    assert 50256 in want[2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in tokenstore.encoded(docs, queries.tokenizer_path()).collect()} == want
+    assert {r.doc_id: r.n_tokens for r in tokenstore.token_output(docs, queries.tokenizer_path()).collect()} == {i: len(t) for i, t in want.items()}
