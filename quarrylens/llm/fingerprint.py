@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylens.llm import textkit as tk
+from quarrylens.operators.components import components
 from quarrylens.session import Scratch, ship_package
 
 SAMPLES, SEED = 256, 77
@@ -36,6 +37,8 @@ _BATCH_CHARS = 1 << 24
 _STEP_BLOCK = 4096
 _BITS: dict[int, np.ndarray] = {}
 _STEPS: dict[int, np.ndarray] = {}
+_PICKS: dict[int, list[np.ndarray]] = {}
+_BLOCK = 1000  # members of a band that a task holds of each side
 
 
 def _symbols(text: str) -> np.ndarray:
@@ -234,13 +237,10 @@ def fingerprint_documents(docs: DataFrame, rows_a_bucket: int = 2000) -> DataFra
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, band key and fingerprint: bit-sampled bands at a text's own octave and at the next coarser one."""
+    """id and band key: bit-sampled bands at a fingerprint's own octave and at the next coarser one."""
     for batch in batches:
-        keys, texts = (c.to_pylist() for c in batch.columns)
-        ids, bands, prints = [], [], []
-        for key, text, own in zip(keys, texts, fingerprints([t or "" for t in texts]), strict=True):
-            if not text:
-                continue
+        ids, bands = [], []
+        for key, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             e = int(own[:2], 16)
             mine = np.frombuffer(bytes.fromhex(own[2:]), np.uint8)
             steps = sampled_steps(e)[: len(mine)]
@@ -248,12 +248,17 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.flatnonzero(np.isin(steps, sampled_steps(octave)[:SAMPLES])) if octave > e else np.arange(len(mine))
                 limit = int(len(sampled_steps(octave)) * 0.3) + 1  # steps that a walk of this octave surely reaches
                 at = at[: max(limit, 1)]
-                for band in range(N_BANDS):
-                    pick = np.random.Generator(np.random.PCG64([SEED, octave, band])).integers(0, limit, BAND_SYMBOLS)
+                for band, pick in enumerate(_picks(octave, limit)):
                     if pick.max() < len(at):
                         digest = hashlib.blake2b(bytes([octave, band]) + mine[at[pick]].tobytes(), digest_size=8).digest()
-                        ids.append(key), bands.append(int.from_bytes(digest, "little", signed=True)), prints.append(own)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.int64()), pa.array(prints, pa.string())], names=["doc_id", "band", "fingerprint"])
+                        ids.append(key), bands.append(int.from_bytes(digest, "little", signed=True))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.int64())], names=["id", "band"])
+
+
+def _picks(octave: int, limit: int) -> list[np.ndarray]:
+    if octave not in _PICKS:
+        _PICKS[octave] = [np.random.Generator(np.random.PCG64([SEED, octave, band])).integers(0, limit, BAND_SYMBOLS) for band in range(N_BANDS)]
+    return _PICKS[octave]
 
 
 def _like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,12 +267,102 @@ def _like(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([likeness(p, q) for p, q in zip(x, y, strict=True)], pa.float64())], names=["a", "b", "likeness"])
 
 
+class _Rest:
+    """Rows sorted by task: links among members of a band that are not yet in one group, each pair compared."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+        for batch in batches:
+            for *key, i, group, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != task and rows:
+                    yield self._links(rows)
+                    rows = []
+                task = key
+                rows.append((i, group, text))
+        if rows:
+            yield self._links(rows)
+
+    def _links(self, rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
+        ids, group = [r[0] for r in rows], np.array([r[1] for r in rows], np.int64)
+        own = np.array([int(r[2][:2], 16) for r in rows])
+        at = {e: self._table([r[2] for r in rows], own, e) for e in sorted(set(own.tolist()))}
+        a, b, found = [], [], []
+        for i in range(len(rows)):
+            others = i + 1 + np.flatnonzero(group[i + 1 :] != group[i])
+            for e in sorted(set(own[others].tolist())):
+                js = others[own[others] == e]
+                table, size = at[max(e, int(own[i]))]
+                same = ((table[js] == table[i]) & (table[i] != 0)).sum(1) / np.maximum(np.maximum(size[js], size[i]), 1)
+                for j, like in zip(js[same >= self.least].tolist(), same[same >= self.least].tolist(), strict=True):
+                    if group[j] != group[i]:
+                        a.append(ids[i]), b.append(ids[j]), found.append(like)
+                        group[group == group[j]] = group[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.float64())], names=["a", "b", "likeness"])
+
+    @staticmethod
+    def _table(prints: list[str], own: np.ndarray, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols at the steps of octave e of those not coarser, a row each (0 after a walk's end), and how many."""
+        steps = sampled_steps(e)
+        table, size = np.zeros((len(prints), len(steps)), np.uint8), np.zeros(len(prints), np.int64)
+        for i, text in enumerate(prints):
+            if own[i] <= e:
+                s = np.frombuffer(bytes.fromhex(text[2:]), np.uint8)
+                if own[i] < e:
+                    s = s[np.isin(sampled_steps(int(own[i]))[: len(s)], steps)]
+                table[i, : len(s)], size[i] = s, len(s)
+        return table, size
+
+
+def _links(nodes: DataFrame, least: float) -> DataFrame:
+    """Verified links (a, b, likeness) among nodes (id, fingerprint), a stored table of unique ids.
+
+    First every member of a band meets the band's smallest id.  In bands whose members are then not all in one group,
+    every pair of different groups is compared too, in blocks of members.  So each two nodes that share a band are in one group or verified as unlike."""
+    scratch = Scratch(nodes.sparkSession, "bands")
+    keys = nodes.where(F.col("fingerprint") != "00").mapInArrow(_band_keys, "id long, band long").distinct()
+    crowd = keys.groupBy("band").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    keys = scratch.table(keys.join(crowd, "band"), "keys")
+    side = lambda i, f: nodes.select(F.col("id").alias(i), F.col("fingerprint").alias(f))
+    pairs = keys.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+    schema = "a long, b long, likeness double"
+    first = scratch.table(pairs.select("a", "x", "b", "y").mapInArrow(_like, schema).where(F.col("likeness") >= least), "first")
+    group = components(first).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    member = keys.where("n > 2").join(group, "id", "left").select("band", "id", "n", F.coalesce("group", "id").alias("group"))
+    member = scratch.table(member, "members")
+    open_bands = member.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("band")
+    member = member.join(open_bands, "band").withColumn("chunks", F.ceil(F.col("n") / F.lit(_BLOCK)).cast("int"))
+    i = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    task = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(i, j).alias("lo"), F.greatest(i, j).alias("hi"))))
+    member = member.select("band", "id", "group", task.alias("t")).join(nodes, "id").select("band", "t.lo", "t.hi", "id", "group", "fingerprint")
+    rest = member.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "id").mapInArrow(_Rest(least), schema)
+    return scratch.table(first.unionByName(rest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness").dropDuplicates(["a", "b"]), "links")
+
+
 def near_links(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Verified links (a, b, likeness): of every band each document meets the smallest id of the band, so a group
-    of copies makes as many links as it has members; chains of links join the rest.  Ids must be unique."""
+    """Verified links (a, b, likeness) of texts that share a band, enough of them to join each group.  Ids must be unique."""
     ship_package(docs.sparkSession)
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_band_keys, "doc_id long, band long, fingerprint string")
-    keys = Scratch(docs.sparkSession, "bands").table(keys, "keys")
-    heads = keys.groupBy("band").agg(F.min_by(F.struct(F.col("doc_id").alias("a"), F.col("fingerprint").alias("x")), "doc_id").alias("h"))
-    pairs = keys.join(heads, "band").where(F.col("doc_id") != F.col("h.a")).select(F.col("h.a").alias("a"), F.col("h.x").alias("x"), F.col("doc_id").alias("b"), F.col("fingerprint").alias("y"))
-    return pairs.dropDuplicates(["a", "b"]).mapInArrow(_like, "a long, b long, likeness double").where(F.col("likeness") >= least)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("doc_id is not null")
+    return _links(Scratch(docs.sparkSession, "prints").table(rows.mapInArrow(_prints, "id long, fingerprint string"), "prints"), least)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints([t or "" for t in batch.column(1).to_pylist()]), pa.string())], names=["id", "fingerprint"])
+
+
+def grouped_fingerprints(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """fingerprint_documents with near_group: the smallest id that equal fingerprints and verified links of bands reach.
+
+    A text without a fingerprint (`00`) is in a group of its own; a group of null ids alone has near_group null."""
+    scratch = Scratch(docs.sparkSession, "groups")
+    rows = scratch.table(fingerprint_documents(docs), "rows")
+    nodes = rows.where(F.col("fingerprint") != "00").groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    nodes = scratch.table(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    found = components(_links(nodes.select("id", "fingerprint"), least)).withColumnRenamed("node", "id")
+    named = scratch.table(nodes.join(found, "id", "left").select("fingerprint", "least", F.coalesce("component", "id").alias("component")), "named")
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("near_group")), "component").select("fingerprint", "near_group")
+    out = rows.join(named, "fingerprint", "left")
+    return out.select(*rows.columns, F.when(F.col("fingerprint") == "00", F.col("doc_id")).otherwise(F.col("near_group")).alias("near_group"))

@@ -1,9 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from quarrylens.llm import jaccard, queries, tokenstore
+from quarrylens.llm import fingerprint, jaccard, queries, tokenstore
 
 
 def test_jaccard_sets_that_agree_in_24_bits_stay_apart(monkeypatch):
@@ -36,3 +39,33 @@ def test_token_output_is_the_librarys(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.ids for r in tokenstore.encoded(docs, queries.tokenizer_path()).collect()} == want
     assert {r.doc_id: r.n_tokens for r in tokenstore.token_output(docs, queries.tokenizer_path()).collect()} == {i: len(t) for i, t in want.items()}
+
+
+def test_band_members_beyond_the_head_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "_BLOCK", 3)
+    rng = random.Random(4)
+    e, n = 10, len(fingerprint.sampled_steps(10))
+    base = np.array([rng.randrange(1, 256) for _ in range(n)], np.uint8)
+
+    def changed(of, places):
+        out = of.copy()
+        out[places] = out[places] % 255 + 1
+        return out
+
+    tail = np.arange(int(n * 0.31) + 2, n)  # beyond what bands sample
+    middle = changed(base, tail[: n // 4])  # unlike the head 0, alike among themselves
+    prints = [base] + [changed(middle, tail[n // 4 + 3 * k : n // 4 + 3 * k + 3]) for k in range(8)]
+    rows = [(i, f"{e:02x}{p.tobytes().hex()}") for i, p in enumerate(prints)]
+    assert all(fingerprint.likeness(rows[0][1], p) < 0.8 for _, p in rows[1:])
+    links = fingerprint._links(spark.createDataFrame(rows, "id long, fingerprint string"), 0.8).collect()
+    assert all(abs(r.likeness - fingerprint.likeness(rows[r.a][1], rows[r.b][1])) < 1e-12 and r.likeness >= 0.8 for r in links)
+    assert {(r.node, r.component) for r in fingerprint.components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).collect()} == {(i, 1) for i in range(1, 9)}
+
+
+def test_op10_groups_edited_copies(spark, tmp_path):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghij ", k=600)) for _ in range(10)]
+    rows = list(enumerate(texts)) + [(100 + i, t[:-40] + "zz" + t[-38:]) for i, t in enumerate(texts)] + [(200, texts[3]), (300, ""), (301, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.near_group for r in queries.op10_fingerprints(spark, str(tmp_path)).collect()}
+    assert got == {i: i % 100 if i < 200 else 3 if i == 200 else i for i, _ in rows}
