@@ -7,6 +7,10 @@ shards; resharding edits that table and moves whole slots.  Three edits exist:
 * grow_map      one more shard takes an even share of the slots of every old shard and nothing else moves;
 * rebalance_map slots move from shards with too many bytes to shards with too few, by bytes measured per slot.
 
+The query stores version 0 and its successors and the bytes of each slot in the shared folder and reads them back:
+`shard` is from version 0, `grown_shard` from version 1 (one more shard), and `balanced_shard` from version 2, the
+edit of version 0 by the measured bytes, which makes shard sizes near equal but follows the data, not the law `key`.
+
 The map has N_SLOTS rows whatever the corpus holds, so it may be broadcast and its windows are bounded.
 
 Defined results: a null text has no bytes (size 1); a null key is hashed by the text instead, so that many
@@ -18,6 +22,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from quarrylens.llm.rows import pick
+from quarrylens.session import Scratch
+
 N_SLOTS = 4096
 
 
@@ -32,8 +39,9 @@ def record_size(text: Column) -> Column:
 
 def slot_stats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """Rows and bytes of every slot that has rows; combined before the shuffle, at most n_slots rows a task."""
+    docs = pick(docs, doc_id=key, text=text)
     return (
-        docs.select(virtual_slot(F.col(key), F.col(text), n_slots).alias("vslot"), record_size(F.col(text)).alias("size"))
+        docs.select(virtual_slot(F.col("doc_id"), F.col("text"), n_slots).alias("vslot"), record_size(F.col("text")).alias("size"))
         .groupBy("vslot")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"))
     )
@@ -88,7 +96,7 @@ def rebalance_map(slot_map: DataFrame, stats: DataFrame, n_shards: int) -> DataF
 
 def store_map(slot_map: DataFrame, path: str) -> None:
     """Append one version to the stored map, a folder for each version."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -100,30 +108,37 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return maps.where(F.col("version") == version).select("version", "vslot", "shard")
 
 
-def assign(docs: DataFrame, slot_map: DataFrame, grown: DataFrame | None = None, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
+def assign(docs: DataFrame, slot_map: DataFrame, stats: DataFrame, also: dict[str, DataFrame] | None = None, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """Every row with its shard and its gapless position there (ordered by slot, key, then text checksum).
 
     Positions need no sort of a whole shard: rows are numbered inside their virtual slot, and the rows of the
-    earlier slots of the shard, known from at most n_slots counts, are added.
+    earlier slots of the shard, known from stats, are added.  also: shards by other versions, by column name.
     """
-    k, t = F.col(key), F.col(text)
-    rows = docs.select(
-        k.alias("doc_id"), record_size(t).alias("size"), F.crc32(F.coalesce(t, F.lit(""))).cast("long").alias("text_crc32"), virtual_slot(k, t, n_slots).alias("vslot")
-    )
-    counts = docs.select(virtual_slot(k, t, n_slots).alias("vslot")).groupBy("vslot").agg(F.count(F.lit(1)).alias("n"))
+    docs = pick(docs, doc_id=key, text=text)
+    k, t = F.col("doc_id"), F.col("text")
+    rows = docs.select(k, record_size(t).alias("size"), F.crc32(F.coalesce(t, F.lit(""))).cast("long").alias("text_crc32"), virtual_slot(k, t, n_slots).alias("vslot"))
     m = slot_map.select("vslot", "shard")
-    m = m.join(F.broadcast(grown.select("vslot", F.col("shard").alias("grown_shard"))), "vslot") if grown is not None else m.withColumn("grown_shard", F.lit(None).cast("int"))
+    for name, version in (also or {}).items():
+        m = m.join(F.broadcast(version.select("vslot", F.col("shard").alias(name))), "vslot")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    m = m.join(F.broadcast(counts), "vslot", "left").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    m = m.join(F.broadcast(stats.select("vslot", "rows")), "vslot", "left").withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
     inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("_in", F.row_number().over(inside))
         .join(F.broadcast(m), "vslot")
-        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("_in") - 1).cast("long").alias("slot"), "grown_shard", F.col("vslot").alias("virtual_slot"))
+        .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("_in") - 1).cast("long").alias("slot"), *(also or {}), F.col("vslot").alias("virtual_slot"))
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
-    """Law `key`: doc_id and shard count decide, and one more shard takes rows only into itself."""
-    first = initial_map(docs.sparkSession, n_shards)
-    return assign(docs, first, grow_map(first, n_shards))
+def shard_documents(docs: DataFrame, n_shards: int = 8, path: str | None = None) -> DataFrame:
+    """Law `key`: doc_id and shard count decide, and one more shard takes rows only into itself.  The map's versions
+    and the slots' bytes are stored at path, else in the shared folder."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "sharding")
+    stats = scratch.table(slot_stats(docs), "slots")
+    path, first = path or scratch.path("map"), initial_map(spark, n_shards)
+    balanced = rebalance_map(first, stats, n_shards).withColumn("version", F.lit(2))
+    for version in (first, grow_map(first, n_shards), balanced):
+        store_map(version, path)
+    first, grown, balanced = (load_map(spark, path, v) for v in range(3))
+    return assign(docs, first, stats, {"grown_shard": grown, "balanced_shard": balanced})
