@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quarrylens.llm.rows import pick
 from quarrylens.session import ship_package
 
 #: (verdict, host and path) of the rules that the query applies
@@ -120,18 +121,18 @@ def rule_glob(rule: str) -> str:
 class Matcher:
     """Longest fitting rule of every canonical URL; equally long rules: the smaller text."""
 
-    def __init__(self, rules: Sequence[tuple[str, str]], default: str = "allow", chunk: int = 4096):
+    def __init__(self, rules: Sequence[tuple[str, str]], default: str = "allow", chunk: int = 4096, state_words: int = 1 << 21):
         self.rules = sorted(rules, key=lambda r: (-len(r[1]), r[1], r[0]))
-        self.default, self.chunk = default, chunk
-        self._auto: GlobAutomaton | None = None
+        self.default, self.chunk, self.state_words = default, chunk, state_words
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = GlobAutomaton([rule_glob(r) for _, r in self.rules])
         names = pa.array([r for _, r in self.rules], pa.string())
         verdicts = pa.array([v for v, _ in self.rules] + [self.default], pa.string())
+        chunk = max(1, min(self.chunk, self.state_words // auto.n_words))  # the states of a chunk are chunk x n_words
         for batch in batches:
-            for at in range(0, batch.num_rows, self.chunk):
-                part = batch.slice(at, self.chunk)
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
                 host, path = part.column("host").to_pylist(), part.column("path").to_pylist()
                 hit = auto.match([f".{h}{p}".encode() for h, p in zip(host, path, strict=True)]) if self.rules else np.zeros((part.num_rows, 0), bool)
                 best = np.where(hit.any(1), hit.argmax(1), len(self.rules)) if self.rules else np.zeros(part.num_rows, np.int64)
@@ -145,6 +146,8 @@ class Matcher:
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: str = "allow", key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, the longest fitting rule (null: none) and its verdict (none: the default)."""
     ship_package(pages.sparkSession)
-    parts = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    pages = pick(pages, key=key, url=url)
+    parts = pages.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     kind = parts.schema[0].dataType.simpleString()
-    return parts.mapInArrow(Matcher(rules, default), f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    found = parts.mapInArrow(Matcher(rules, default), f"key {kind}, host string, path string, rule string, verdict string")
+    return found.withColumnRenamed("key", key)
