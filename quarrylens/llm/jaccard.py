@@ -1,6 +1,7 @@
 """N-gram Jaccard join: exact links between documents whose shingle sets are similar, and their components.
 
-* Classes: documents with equal sets are one point, stood for by their smallest id.
+* Classes: documents with equal sets (128 bits of them) are one point, stood for by their smallest id; only that
+  document goes on.
 * Routing: shingles have a common order (their hashes).  If A and B have Jaccard >= t, then in the order, up to
   the 2 (1 - t) n + 2 first shingles of whichever ends first, more shingles are shared than not, so somewhere two
   shared shingles follow each other directly in both.  Each point therefore is sent to the meeting places of its
@@ -11,10 +12,11 @@
   more than the summed minima of their coordinates.  Points that meet are kept in a packed R-tree over these
   vectors; a search drops every node whose upper corner bounds the overlap below what the threshold needs.
   The points of one meeting place that survive are joined into a forest, not pairs.
-* Verification: the components of those forests are candidate clusters.  A cluster is solved in one task (or, if
-  its sets are many, in one task for each pair of its chunks): the R-tree again drops pairs, and the rest are
-  compared set by set, but only while their documents are not yet in one component.  Verified forests give the
-  final components.
+* Verification: the components of those forests are candidate clusters.  A cluster is solved in one task, or, if
+  its sets are many, in chunks that each also hold some HUB documents of the whole cluster, which joins what is
+  truly one group.  What then is not in the cluster's largest group meets every chunk once more.  In a task the
+  R-tree again drops pairs, and the rest are compared set by set, but only while their documents are not yet in
+  one component.  Verified forests give the final components.
 
 Defined results: words are lower-cased in A-Z; fewer words than a shingle make one shingle; a null or empty text
 has the empty set and links to nothing; rows with equal ids are one node, linked to whatever any of their texts links to; a null id belongs
@@ -32,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarrylens.llm import textkit as tk
+from quarrylens.llm.rows import pick
 from quarrylens.operators.components import components
 from quarrylens.session import Scratch, ship_package
 
@@ -39,7 +42,8 @@ GROUPS = 32
 DOCS_A_BUCKET = 1000  # a bucket gets about as many keys as this many documents have
 CHUNK = 1_500_000  # shingles of a cluster's chunk
 _LEAF = 16
-_SIG = "doc_id long, n_shingles long, k1 long, k2 long, counts binary"
+HUB = 64  # documents of a large cluster that go to all its chunks, about
+_SIG = "doc_id long, n_shingles long, k1 long, k2 long, counts binary, keys binary"
 
 
 def needed(a, b, percent: int):
@@ -131,14 +135,18 @@ class _Overlaps:
         return np.bincount(self.owner[at], minlength=self.n)
 
 
-def forest(vectors: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the survivors' graph, or, given the sets, of the exact links."""
+def forest(vectors: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the survivors' graph, or, given the sets, of the exact links; points of one group are
+    taken as joined already."""
     if len(sizes) < 2:
         return []
     tree = CountTree(vectors, sizes, percent)
     own = [sets[i] for i in tree.order] if sets is not None else None
     overlaps = None
     union, out = _Union(len(sizes)), []
+    if group is not None:
+        _, first, label = np.unique(group[tree.order], return_index=True, return_inverse=True)
+        union.parent = first[label]
     for i in range(len(sizes)):
         near = tree.search(i)
         near = near[near < i]
@@ -174,6 +182,17 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _six(keys: np.ndarray) -> bytes:
+    """Keys of 48 bits, six bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 class Join:
     """The steps that run in Python workers."""
 
@@ -189,25 +208,22 @@ class Join:
         return tk.mix(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[1:]) >> np.uint64(16)
 
     def signatures(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _SIG.split(", ")]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
-            ids, ns, k1, k2, vectors = [], [], [], [], []
+            rows = []
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 s = self.shingles(text)
-                a, b = _set_key(s)
-                ids.append(key), ns.append(len(s)), k1.append(a), k2.append(b), vectors.append(count_vector(s).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(vectors, pa.binary())],
-                names=[x.split()[0] for x in _SIG.split(", ")],
-            )
+                rows.append((key, len(s), *_set_key(s), count_vector(s).tobytes(), _six(self.keys(s))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 6, kinds, strict=True)], names=names)
 
     def places(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """bucket and packed keys, set ids and documents, by batch; set ids (64 bits) tell copies of one set."""
         for batch in batches:
             keys, sets, docs, held = [], [], [], 0
-            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s = self.shingles(text)
-                k = self.keys(s)
-                keys.append(k), sets.append(np.full(len(k), _set_key(s)[0], np.int64)), docs.append(np.full(len(k), key, np.int64))
+            for doc, own, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                k = _from_six(blob)
+                keys.append(k), sets.append(np.full(len(k), own, np.int64)), docs.append(np.full(len(k), doc, np.int64))
                 held += len(k)
                 if held > 1 << 21:
                     yield self._pack(keys, sets, docs)
@@ -223,8 +239,7 @@ class Join:
         at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         blobs = []
         for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(key)], strict=True):
-            six = key[lo:hi].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            blobs.append(six.tobytes() + own[lo:hi].astype("<i8").tobytes() + doc[lo:hi].astype("<i8").tobytes())
+            blobs.append(_six(key[lo:hi]) + own[lo:hi].astype("<i8").tobytes() + doc[lo:hi].astype("<i8").tobytes())
         return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     @staticmethod
@@ -232,9 +247,7 @@ class Join:
         parts = []
         for blob in blobs:
             n = len(blob) // 22
-            key = np.zeros((n, 8), np.uint8)
-            key[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
-            parts.append((key.view("<u8").ravel(), np.frombuffer(blob, "<i8", n, 6 * n), np.frombuffer(blob, "<i8", n, 14 * n)))
+            parts.append((_from_six(blob[: 6 * n]), np.frombuffer(blob, "<i8", n, 6 * n), np.frombuffer(blob, "<i8", n, 14 * n)))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
     def crowded(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,49 +317,81 @@ class Join:
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
 
     def solve(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by task: exact forests of each task's documents."""
-        task, ids, sets = None, [], []
+        """Rows sorted by task (component, lo, hi), with group, doc_id and text: exact forests of each task's documents."""
+        task, ids, groups, sets = None, [], [], []
         for batch in batches:
-            for *key, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, group, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != task and ids:
-                    yield self._solve(ids, sets)
-                    ids, sets = [], []
+                    yield self._solve(ids, groups, sets)
+                    ids, groups, sets = [], [], []
                 task = key
-                ids.append(doc), sets.append(self.shingles(text))
+                ids.append(doc), groups.append(group), sets.append(self.shingles(text))
         if ids:
-            yield self._solve(ids, sets)
+            yield self._solve(ids, groups, sets)
 
-    def _solve(self, ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def _solve(self, ids: list[int], groups: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets])
-        links = forest(np.stack([count_vector(s) for s in sets]), sizes, self.percent, sets)
+        links = forest(np.stack([count_vector(s) for s in sets]), sizes, self.percent, sets, np.array(groups, np.int64))
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
 
 
+def _solved(join: Join, tasks: DataFrame, named: DataFrame) -> DataFrame:
+    """Links found in tasks (component, lo, hi, group, doc_id)."""
+    by = ["component", "lo", "hi"]
+    rows = tasks.join(named, "doc_id").select(*by, "group", "doc_id", "text")
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(join.solve, "a long, b long")
+
+
+def _verified(join: Join, clusters: DataFrame, sizes: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the documents of each cluster (node, component) as their exact links do."""
+    sized = clusters.join(sizes.withColumnRenamed("doc_id", "node"), "node")
+    counts = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("docs"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("docs")) < HUB)
+    placed = scratch.table(sized.join(counts, "component").withColumn("i", chunk).withColumn("hub", hub), "clusters")
+    tasks = placed.select("component", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("i"))).alias("lo"), F.lit(0).alias("hi"), F.col("node").alias("group"), F.col("node").alias("doc_id"))
+    links = scratch.table(_solved(join, tasks, named), "links")
+    large = placed.where("chunks > 1")
+    if not large.head(1):
+        return links
+    joined = components(links).select("node", F.col("component").alias("group"))
+    large = scratch.table(large.join(joined, "node", "left").withColumn("group", F.coalesce("group", "node")), "large")
+    groups = large.groupBy("component", "group").agg(F.sum("n").alias("n"))
+    rest = groups.groupBy("component").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("all"))
+    rest = rest.select("component", F.col("most.group").alias("largest"), F.ceil((F.col("all") - F.col("most.n")) / F.lit(CHUNK)).cast("int").alias("parts")).where("parts > 0")
+    open_ = large.join(rest, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    at = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: at(F.col("i"), k))
+    every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: at(j, F.col("part")))
+    tasks = open_.select("component", "group", "node", F.explode(F.when(F.col("group") == F.col("largest"), own).otherwise(F.array_union(own, every))).alias("t"))
+    tasks = tasks.select("component", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), "group", F.col("node").alias("doc_id"))
+    return links.unionByName(scratch.table(_solved(join, tasks, named), "links"))
+
+
 def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id that links reach) of every row."""
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = rows.where("doc_id is not null")
-    join = Join(words, percent, max(64, named.count() // DOCS_A_BUCKET))
-    sig = scratch.table(rows.mapInArrow(join.signatures, _SIG), "signatures")
-    points = sig.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("n_shingles").alias("n"), "counts")
-    places = named.mapInArrow(join.places, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    sig = scratch.table(rows.mapInArrow(Join(words, percent).signatures, _SIG), "signatures")
+    join = Join(words, percent, max(64, sig.count() // DOCS_A_BUCKET))
+    full = sig.where("n_shingles > 0")
+    classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
+    chosen = full.join(classes, ["k1", "k2", "doc_id"], "left_semi")  # ids that are null stand for no class
+    points = scratch.table(chosen.select("doc_id", F.col("n_shingles").alias("n"), "k1", "counts", "keys"), "points")
+    places = points.select("doc_id", "k1", "keys").mapInArrow(join.places, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
     crowded = places.mapInArrow(join.crowded, "place long, doc_id long")
-    met = crowded.join(points, "doc_id").select("place", "doc_id", "n", "counts")
+    met = crowded.join(points.select("doc_id", "n", "counts"), "doc_id").select("place", "doc_id", "n", "counts")
     survivors = met.repartition("place").sortWithinPartitions("place", "n").mapInArrow(join.meet, "a long, b long").distinct()
-    clusters = components(survivors)
-    sized = clusters.join(points.select(F.col("doc_id").alias("node"), "n"), "node")
-    chunks = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    placed = clusters.join(chunks, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    task = F.explode(F.transform(others, lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi"))))
-    placed = placed.select("node", "component", task.alias("t"))
-    whole = placed.select("component", F.col("t.lo").alias("lo"), F.col("t.hi").alias("hi"), F.col("node").alias("doc_id")).join(named, "doc_id")
-    links = whole.select("component", "lo", "hi", "doc_id", "text").repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(join.solve, "a long, b long")
-    final = components(links)
-    classes = sig.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
-    classes = scratch.table(classes.join(final, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id")), "classes")
-    out = sig.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    links = _verified(join, components(survivors), points.select("doc_id", "n").distinct(), named, scratch)
+    # ids with several sets join the classes of all of them
+    several = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("doc_id")
+    if several.head(1):
+        own = full.select("doc_id", "k1", "k2").join(several, "doc_id").join(classes.withColumnRenamed("doc_id", "b"), ["k1", "k2"])
+        links = links.unionByName(own.select(F.col("doc_id").alias("a"), "b"))
+    final = components(links).select(F.col("node").alias("doc_id"), "component")
+    named_classes = classes.join(final, "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sig.select("doc_id", "n_shingles", "k1", "k2").join(scratch.table(named_classes, "classes"), ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
