@@ -9,21 +9,25 @@ that alphabet:
 * lag-one serial correlation of the characters' places in the alphabet;
 * coincidence test against word-like text: how unlikely text of this length has so few equal characters.
 
-The first three must not reject randomness (Bonferroni over the battery).  The fourth is a p-value under
-"this is ordinary text", whose spread shrinks with the token's length; false discoveries are controlled by
-Benjamini-Hochberg within classes of similar length, over the candidates of the whole corpus, from a histogram
-of rounded-up p-values.  Surviving candidates become `random` spans.
+Two Benjamini-Hochberg procedures decide, both within classes of similar length, over the candidates of the whole
+corpus, from histograms of rounded-up p-values.  The first takes the battery's p-value (the least of the first three,
+times three), whose null is "this is random": what it rejects is uneven and goes, and of tokens that are random no more
+than a share of FALSE_REJECTIONS of all that go.  The second takes the fourth figure, whose null is "this is ordinary
+text" and whose spread shrinks with the token's length: what it rejects is no text, and no more than a share of
+FALSE_DISCOVERIES of it is.  Candidates that stay in the first and are rejected in the second become `random` spans.
 
 Positions are code points: the pieces between matches, from split(), and the matches have lengths that add up.
 
 Defined results: a null or empty text has no spans; repeated rows get equal results; an empty table gives an
-empty table; extra columns are ignored; there is no limit on a text's length or its number of spans.
+empty table; extra columns are ignored; there is no limit on a text's length or its number of spans, and the work for
+a text grows with its length and its spans, not with their square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quarrylens.llm.rows import pick
 from quarrylens.session import Scratch
 
 KINDS = ("assign", "access", "hex", "random")
@@ -50,30 +54,64 @@ ALPHABETS = {
 #: chance that two characters of ordinary (structured) tokens are equal, by encoding
 COINCIDENCE = {"hex": 0.130, "base32": 0.080, "base64": 0.066}
 LENGTH_CLASSES = (32, 48, 64, 128)
-FALSE_DISCOVERIES, BATTERY_LEVEL, P_STEPS = 0.01, 0.001, 20  # P_STEPS: histogram buckets for each factor of ten
+FALSE_DISCOVERIES, FALSE_REJECTIONS, P_STEPS = 0.01, 0.001, 20  # P_STEPS: histogram buckets for each factor of ten
 
-_SPAN = "array<struct<start:int,kind:int,end:int>>"
+_SPAN, _TOKEN = "array<struct<start:int,kind:int,end:int>>", "array<struct<start:int,kind:int,end:int,token:string>>"
+_STEPS = 256  # matches whose spans are put together at a time
 
 
-def _found(text: Column, regex: str, kind: int, group: int | None = None, least: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches; with a group, of those whose group is long enough."""
-    pieces = F.split(text, regex, -1)
-    matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    groups = F.regexp_extract_all(text, F.lit(regex), F.lit(group)) if group else matches
-    steps = F.zip_with(
-        F.slice(pieces, F.lit(1), F.size(matches)),
-        F.arrays_zip(matches.alias("m"), groups.alias("g")),
-        lambda p, x: F.struct(F.length(p).alias("gap"), F.length(x["m"]).alias("len"), F.length(x["g"]).alias("own")),
-    )
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _found(text: Column, regex: str, kind: int, group: int | None = None, least: int = 0, tokens: bool = False) -> Column:
+    """Spans of the leftmost non-overlapping matches, with tokens also their text; with a group, of those whose group
+    is long enough.  Arrays grow by blocks of _STEPS spans."""
+    every = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    groups = F.regexp_extract_all(text, F.lit(regex), F.lit(group)) if group else F.array().cast("array<string>")
+    schema = _TOKEN if tokens else _SPAN
+
+    def steps(x: Column) -> Column:
+        own = F.arrays_zip(x["m"].alias("m"), x["g"].alias("g")) if group else F.transform(x["m"], lambda m: F.struct(m.alias("m"), m.alias("g")))
+        text_of = (lambda o: [o["m"].alias("token")]) if tokens else (lambda o: [])
+        return F.zip_with(
+            F.slice(x["pieces"], F.lit(1), F.size(x["m"])),
+            own,
+            lambda p, o: F.struct(F.length(p).alias("gap"), F.length(o["m"]).alias("len"), F.length(o["g"]).alias("own"), *text_of(o)),
+        )
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + x["len"]
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
+        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *([x["token"].alias("token")] if tokens else [])))
         return F.struct(end.alias("at"), F.when(x["own"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(regex), spans).otherwise(F.array().cast(_SPAN))
+    def spans(s: Column) -> Column:
+        def block(acc: Column, i: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast(schema).alias("out"))
+            part = F.aggregate(F.slice(s, i * _STEPS + 1, F.lit(_STEPS)), start, step)
+            return _let(part, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        last = F.floor((F.size(s) - 1) / F.lit(_STEPS)).cast("int")
+        return F.aggregate(F.sequence(F.lit(0), last), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{schema}>").alias("out")), block, lambda acc: F.flatten(acc["out"]))
+
+    matches = F.struct(F.split(text, regex, -1).alias("pieces"), every.alias("m"), groups.alias("g"))
+    return F.when(text.rlike(regex), _let(_let(matches, steps), spans)).otherwise(F.array().cast(schema))
+
+
+def _meets(spans: Column, c: Column) -> Column:
+    """Whether any of the spans, which are in order and apart, overlaps c; by halving."""
+
+    def halve(acc: Column, _: Column) -> Column:
+        return _let(
+            ((acc["lo"] + acc["hi"]) / 2).cast("int"),
+            lambda mid: F.when(F.get(spans, mid)["start"] < c["end"], F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi"))),
+        )
+
+    turns = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    before = F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve, lambda acc: acc["lo"])
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(_let(before, lambda n: F.coalesce(F.get(spans, n - 1)["end"] > c["start"], F.lit(False))))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -95,11 +133,6 @@ def _encoding(token: Column) -> Column:
     return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(token.rlike("^[A-Z2-7]+$"), F.lit("base32")).otherwise(F.lit("base64"))
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once however often it is used."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def battery(token: Column) -> Column:
     """Struct of encoding, n, p_uniform, p_runs, p_serial and p_text of a token."""
 
@@ -161,44 +194,48 @@ def _length_class(n: Column) -> Column:
     return out
 
 
+def _bucket(p: Column) -> Column:
+    return F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * P_STEPS).cast("int")
+
+
 def scan_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, base spans of each kind, and the candidates outside them with their p-values; no text any more."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias("doc_id"), t.alias("t")).select("doc_id", "t", *(c.alias(k) for k, c in base_spans(F.col("t")).items()))
-    base = base.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    outside = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    number = lambda c: F.substring(F.col("t"), c["start"] + 1, c["end"] - c["start"]).rlike("^[0-9]+$")
-    spans = F.filter(_found(F.col("t"), CANDIDATE, 3), lambda c: outside(c) & ~number(c))
-    base = base.withColumn("_c", spans)
-    tokens = F.transform("_c", lambda c: F.struct(c.alias("span"), battery(F.substring(F.col("t"), c["start"] + 1, c["end"] - c["start"])).alias("b")))
-    empty = F.array().cast("array<struct<span:struct<start:int,kind:int,end:int>,class:int,bucket:int,even:boolean>>")
-    level = BATTERY_LEVEL / 3
-    tested = F.transform(
-        tokens,
+    """doc_id, base spans of each kind, and the candidates outside them with their p-values; no text any more."""
+    docs = pick(docs, doc_id=key, text=text)
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "t", *(c.alias(k) for k, c in base_spans(F.col("t")).items()))
+    outside = lambda c: ~(_meets(F.col("assign"), c) | _meets(F.col("access"), c) | _meets(F.col("hex"), c))
+    tokens = F.filter(_found(F.col("t"), CANDIDATE, 3, tokens=True), lambda c: ~c["token"].rlike("^[0-9]+$") & outside(c))
+    base = base.withColumn("base", F.array_sort(F.concat("assign", "access", "hex"))).withColumn("_c", tokens)
+    tested = F.transform("_c", lambda c: F.struct(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")).alias("span"), battery(c["token"]).alias("b")))
+    empty = F.array().cast("array<struct<span:struct<start:int,kind:int,end:int>,class:int,bucket:int,uneven:int>>")
+    found = F.transform(
+        tested,
         lambda x: F.struct(
             x["span"].alias("span"),
             _length_class(x["b"]["n"]).alias("class"),
-            F.floor(-F.log10(F.greatest(x["b"]["p_text"], F.lit(1e-30))) * P_STEPS).cast("int").alias("bucket"),
-            ((x["b"]["p_uniform"] >= level) & (x["b"]["p_runs"] >= level) & (x["b"]["p_serial"] >= level)).alias("even"),
+            _bucket(x["b"]["p_text"]).alias("bucket"),
+            _bucket(F.least(F.lit(1.0), 3 * F.least(x["b"]["p_uniform"], x["b"]["p_runs"], x["b"]["p_serial"]))).alias("uneven"),
         ),
     )
-    return base.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), "base", F.when(F.size("_c") > 0, tested).otherwise(empty).alias("found"))
+    return base.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), "base", F.when(F.size("_c") > 0, found).otherwise(empty).alias("found"))
 
 
 def discoveries(scanned: DataFrame) -> DataFrame:
-    """One row: for each length class the smallest bucket that Benjamini-Hochberg accepts.
+    """One row: for each length class the smallest bucket that Benjamini-Hochberg rejects, of text (`least`) and of
+    randomness (`uneven`).
 
-    A bucket's p-values count as its upper edge, which can only make the procedure stricter.  The histogram has
-    at most 5 classes x 601 buckets.
+    A bucket's p-values count as its upper edge, which can only make the procedure stricter.  The histograms have
+    at most 5 classes x 601 buckets each.
     """
-    from pyspark.sql import Window
-
-    hist = scanned.select(F.explode("found").alias("f")).groupBy(F.col("f.class").alias("class"), F.col("f.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("class")
+    f = F.explode("found").alias("f")
+    seen = scanned.select(f).select(F.col("f.class").alias("class"), F.explode(F.array(*(F.struct(F.lit(i).alias("null"), F.col(f"f.{c}").alias("bucket")) for i, c in enumerate(("bucket", "uneven"))))).alias("x"))
+    hist = seen.groupBy("class", F.col("x.null").alias("null"), F.col("x.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("class", "null")
     ranked = hist.withColumn("m", F.sum("n").over(by)).withColumn("k", F.sum("n").over(by.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)))
-    passed = ranked.where(F.pow(F.lit(10.0), -F.col("bucket") / P_STEPS) <= F.lit(FALSE_DISCOVERIES) * F.col("k") / F.col("m"))
-    least = passed.groupBy("class").agg(F.min("bucket").alias("bucket"))
-    return least.agg(F.map_from_entries(F.collect_list(F.struct("class", "bucket"))).alias("least"))
+    level = F.when(F.col("null") == 0, F.lit(FALSE_DISCOVERIES)).otherwise(F.lit(FALSE_REJECTIONS))
+    passed = ranked.where(F.pow(F.lit(10.0), -F.col("bucket") / P_STEPS) <= level * F.col("k") / F.col("m"))
+    least = passed.groupBy("class", "null").agg(F.min("bucket").alias("bucket"))
+    of = lambda i: F.map_from_entries(F.filter(F.collect_list(F.when(F.col("null") == i, F.struct("class", "bucket"))), lambda x: x.isNotNull()))
+    return least.agg(of(0).alias("least"), of(1).alias("uneven"))
 
 
 def _joined(spans: Column) -> Column:
@@ -211,8 +248,9 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     scanned = Scratch(spark, "secrets").table(scan_text(docs, key, text), "scanned")
     out = scanned.crossJoin(F.broadcast(discoveries(scanned)))  # one row
-    kept = F.filter("found", lambda f: f["even"] & F.coalesce(f["bucket"] >= F.try_element_at(F.col("least"), f["class"]), F.lit(False)))
-    added = F.transform(kept, lambda f: f["span"])
+    text_like = lambda f: ~F.coalesce(f["bucket"] >= F.try_element_at(F.col("least"), f["class"]), F.lit(False))
+    uneven = lambda f: F.coalesce(f["uneven"] >= F.try_element_at(F.col("uneven"), f["class"]), F.lit(False))
+    added = F.transform(F.filter("found", lambda f: ~text_like(f) & ~uneven(f)), lambda f: f["span"])
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.array_sort(F.concat("base", added))).alias("spans"), F.size(added).cast("long").alias("n_random")
     )
