@@ -7,10 +7,10 @@ parallel.  Text is moved once, token ids never.
 Encoding is the tokenizers library's.  A byte-level vocabulary encodes every pre-token on its own, so pre-tokens
 that were seen before come from a table in the worker and only new ones go through the library; texts with
 control characters or letters beyond U+024F, where regex engines may differ in class tables, go to it whole, and so do
-texts that hold an added token such as <|endoftext|>, which becomes that token's id in a store, as in the library.
+texts that hold an added token such as <|endoftext|>, which becomes that token's id, as in the library.
 
-Defined results: a null text is stored as its end id alone; rows with equal ids stand in text order; null ids
-come first; an empty table gives an empty store; extra columns are ignored.
+Defined results: a null text is stored as its end id alone; rows with equal ids (null ids too, which come
+first) stand in the order of their texts' hashes, so that a hot id is dealt to many files; an empty table gives an empty store; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from quarrylens.llm.rows import pick
 from quarrylens.session import Scratch, ship_package
 
 END_ID = 2
@@ -41,7 +42,7 @@ ORC_OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 _CACHE_LIMIT = 650_000
 
 
@@ -70,16 +71,15 @@ class _Numbered(dict):
 class Encoder:
     """Ids of texts by one tokenizer file; kept by the worker between tasks.
 
-    known maps a pre-token to its row in ids/first, a table of id runs.  With literal, an added token in a text is
-    plain text; without, as in stores, it is the token, as the library has it."""
+    known maps a pre-token to its row in ids/first, a table of id runs.  An added token in a text is that token, as
+    the library has it."""
 
-    def __init__(self, path: str, literal: bool = True):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = literal
-        added = [t.content for t in self.lib.get_added_tokens_decoder().values() if not (literal and t.special)]
+        added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         kind = str(self.lib.pre_tokenizer)
         self.by_piece = self.lib.normalizer is None and kind.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in kind
@@ -109,10 +109,10 @@ class Encoder:
         return self.ids[at], n
 
     @classmethod
-    def of(cls, path: str, literal: bool = True) -> Encoder:
-        if (path, literal) not in _ENCODERS:
-            _ENCODERS[path, literal] = cls(path, literal)
-        return _ENCODERS[path, literal]
+    def of(cls, path: str) -> Encoder:
+        if path not in _ENCODERS:
+            _ENCODERS[path] = cls(path)
+        return _ENCODERS[path]
 
     def __call__(self, text: str) -> list[int]:
         return self.block([text])[0].tolist()
@@ -206,18 +206,21 @@ class _Write:
         self.path, self.end = path, end_id
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, pos = Encoder.of(self.path, literal=False), TaskContext.get().partitionId(), 0
+        encoder, part, pos = Encoder.of(self.path), TaskContext.get().partitionId(), 0
         _trim()
         gc.disable()  # millions of short-lived pieces and no cycles
-        for batch in batches:
-            texts, at, held = [], 0, 0
-            for lo in range(0, batch.num_rows, 256):  # few texts are Python strings at a time
-                for i, text in enumerate(batch.column(1).slice(lo, 256).to_pylist(), lo):
-                    texts.append(text or "")
-                    held += len(texts[-1])
-                    if held > _BLOCK or i == batch.num_rows - 1:
-                        yield self._rows(encoder, part, pos, batch.column(0).slice(at, len(texts)), texts)
-                        pos, at, texts, held = pos + len(texts), i + 1, [], 0
+        try:
+            for batch in batches:
+                texts, at, held = [], 0, 0
+                for lo in range(0, batch.num_rows, 256):  # few texts are Python strings at a time
+                    for i, text in enumerate(batch.column(1).slice(lo, 256).to_pylist(), lo):
+                        texts.append(text or "")
+                        held += len(texts[-1])
+                        if held > _BLOCK or i == batch.num_rows - 1:
+                            yield self._rows(encoder, part, pos, batch.column(0).slice(at, len(texts)), texts)
+                            pos, at, texts, held = pos + len(texts), i + 1, [], 0
+        finally:
+            gc.enable()  # the worker lives on
 
     def _rows(self, encoder: Encoder, part: int, pos: int, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
         flat, counts = encoder.block(texts)
@@ -235,8 +238,8 @@ class _Write:
 def encoded(docs: DataFrame, tokenizer: str, end_id: int | None = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of a store, in ascending id order from partition to partition."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_Write(tokenizer, end_id), STORE_SCHEMA)
+    rows = pick(docs, doc_id=key, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(_Write(tokenizer, end_id), STORE_SCHEMA)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = END_ID, **columns: str) -> None:
