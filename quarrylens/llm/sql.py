@@ -24,7 +24,7 @@ SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict
 OP6 = rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ' ' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM s0),
@@ -35,12 +35,10 @@ s5 AS (SELECT *, (SELECT level FROM s4 WHERE level < ratio ORDER BY ratio, place
 s6 AS (SELECT source, source_size, CASE WHEN fill IS NULL THEN cap ELSE least(cap, fill * weight) END AS target FROM s5),
 s7 AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM s6),
 s8 AS (SELECT *, target - base * source_size AS rest FROM s7),
-g0 AS (SELECT source, h, sum(size) AS z FROM d GROUP BY source, h),
-g1 AS (SELECT *, coalesce(sum(z) OVER (PARTITION BY source ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g0),
-g2 AS (SELECT g1.source, g1.h, s8.rest > 0 AND g1.before + g1.z / 2 <= s8.rest AS more FROM g1 JOIN s8 ON g1.source IS NOT DISTINCT FROM s8.source)
-SELECT d.doc_id, d.size, s8.source_size, s8.target, ((s8.base + CASE WHEN g2.more THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken, d.source,
-       (s8.base + CASE WHEN g2.more AND (d.size > 0 OR s8.rest > 0) THEN 1 ELSE 0 END)::INT AS copies
-FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source JOIN g2 ON d.source IS NOT DISTINCT FROM g2.source AND d.h = g2.h
+g1 AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+g2 AS (SELECT g1.*, s8.source_size, s8.target, s8.base + CASE WHEN s8.rest > 0 AND g1.before + g1.size / 2 <= s8.rest THEN 1 ELSE 0 END AS n
+  FROM g1 JOIN s8 ON g1.source IS NOT DISTINCT FROM s8.source)
+SELECT doc_id, size, source_size, target, (n * size)::BIGINT AS taken, source, n::INT AS copies FROM g2
 """
 
 
