@@ -12,31 +12,36 @@ that pass it for some unit go through block-max WAND.
 Retrieved items are then verified on the whole document: five-word shingles of the item's question and of its
 answer (what follows the last question mark, or else the last quarter) must be found again.
 
-The benchmark is read in shards of bounded bytes, and a shard's items are collected, indexed and sent to the
-workers; documents stream through the shards one after another and are never shuffled.
+The benchmark is cut into shards of about SHARD_BYTES.  Document frequencies and mean lengths are those of the whole
+benchmark, so results do not depend on the cut.  Executors build one index a shard, and each index, whose size the
+shard bounds, is broadcast; a worker holds one of them at a time and takes blocks of documents through all shards.
+Documents are read once and never shuffled.
 
 Defined results: tokens are runs of ASCII letters and digits and non-ASCII characters, A-Z lower-cased; an item
 with fewer words than a shingle is one shingle; null or empty texts and items without tokens match nothing; rows
-that repeat are judged alike; null item ids are ignored; empty tables give no matches; other columns are kept.
+that repeat are judged alike; null item ids are ignored; empty tables give no matches; other columns are kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from quarrylens.llm import textkit as tk
-from quarrylens.session import ship_package
+from quarrylens.llm.rows import pack, pick, unpack
+from quarrylens.session import Scratch, ship_package
 
 UNIT, PASSAGE, THRESHOLD, ESSENTIAL = 64, 128, 0.6, 0.85
 SHINGLE, QUESTION_SHARE, ANSWER_SHARE = 5, 0.8, 0.5
 K1, B, BLOCK = 1.2, 0.75, 64
-SHARD_BYTES = 16 << 20
+SHARD_BYTES, HELD_BYTES = 16 << 20, 64 << 20
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -60,54 +65,100 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+class Statistics:
+    """What BM25 weights need of the whole benchmark: units, their mean length, units that have each term."""
+
+    def __init__(self, n_units: int, mean: float, terms: np.ndarray, df: np.ndarray):
+        by = np.argsort(terms)
+        self.n_units, self.mean, self.terms, self.df = n_units, mean, terms[by], df[by]
+
+    @classmethod
+    def of(cls, units: list[np.ndarray]) -> Statistics:
+        seen = np.concatenate([np.unique(u) for u in units]) if units else np.zeros(0, np.uint64)
+        terms, df = np.unique(seen, return_counts=True)
+        return cls(len(units), sum(map(len, units)) / max(len(units), 1), terms, df)
+
+
+def _units(t: np.ndarray) -> list[np.ndarray]:
+    return [t[lo : lo + UNIT] for lo in range(0, len(t), UNIT)]
+
+
+class _Runs:
+    """Many short arrays as one flat array."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.at = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.at[i] : self.at[i + 1]]
+
+
 class ItemIndex:
-    """Block-max inverted index of test items."""
+    """Block-max inverted index of test items, in flat arrays."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, statistics: Statistics | None = None):
         self.threshold = threshold
-        self.item_ids, self.parts, units, self.unit_item = [], [], [], []
+        questions, answers, units, ids, unit_item = [], [], [], [], []
         for item, text in sorted(items):
             t = tokens(text)
             if not len(t):
                 continue
             question, answer = (tk.shingle_set(tokens(x), SHINGLE) for x in question_and_answer(text))
-            self.parts.append((question, answer))
-            for lo in range(0, len(t), UNIT):
-                units.append(t[lo : lo + UNIT])
-                self.unit_item.append(len(self.item_ids))
-            self.item_ids.append(item)
-        df = Counter(x for u in units for x in set(u.tolist()))
-        mean = sum(map(len, units)) / max(len(units), 1)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        essential: list[tuple[int, int, float]] = []
-        need = []
-        for k, u in enumerate(units):
-            counts = Counter(u.tolist())
-            weight = {t: math.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(u) / mean)) for t, n in counts.items()}
-            total, mass = sum(weight.values()), 0.0
-            for t, w in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
-                lists.setdefault(t, []).append((k, w / total))
-                if mass < max(ESSENTIAL, 1.05 - threshold):
-                    essential.append((t, k, w / total))
-                    mass += w / total
-            need.append(threshold - (1 - mass) - 1e-9)
-        essential.sort()
-        term = np.array([t for t, _, _ in essential], np.uint64)
-        self.essential, first = np.unique(term, return_index=True)
-        self.first = np.append(first, len(term))
-        self.essential_unit = np.array([k for _, k, _ in essential], np.int64)
-        self.essential_impact = np.array([w for _, _, w in essential])
-        self.need = np.array(need)
-        self.postings = {}
-        for t, p in lists.items():
-            ids, impact = np.array([k for k, _ in p], np.int64), np.array([w for _, w in p])
-            at = np.arange(0, len(ids), BLOCK)
-            ends = np.append(at[1:], len(ids)) - 1
-            self.postings[t] = (ids, impact, float(impact.max()), ids[ends], np.maximum.reduceat(impact, at))
+            questions.append(question), answers.append(answer)
+            own = _units(t)
+            units += own
+            unit_item += [len(ids)] * len(own)
+            ids.append(item)
+        self.item_ids, self.unit_item = np.array(ids, np.int64), np.array(unit_item, np.int64)
+        self.questions, self.answers = _Runs(questions), _Runs(answers)
+        s = statistics or Statistics.of(units)
+        lengths = np.array([len(u) for u in units], np.int64)
+        token, unit = np.concatenate([*units, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(units)), lengths)
+        by = np.lexsort((unit, token))
+        token, unit = token[by], unit[by]
+        new = np.append(True, (token[1:] != token[:-1]) | (unit[1:] != unit[:-1]))[: len(token)]
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(token)))
+        term, unit = token[first], unit[first]
+        df = s.df[np.searchsorted(s.terms, term)]
+        weight = np.log(1 + (s.n_units - df + 0.5) / (df + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * lengths[unit] / max(s.mean, 1e-9)))
+        impact = weight / np.bincount(unit, weight, len(units))[unit]
+        # postings by term, then unit; their blocks start anew with each term
+        self.terms, start = np.unique(term, return_index=True)
+        self.post_at = np.append(start, len(term))
+        self.post_unit, self.post_impact = unit, impact
+        sizes = np.diff(self.post_at)
+        self.top = np.maximum.reduceat(impact, start) if len(start) else np.zeros(0)
+        blocks = -(-sizes // BLOCK)
+        self.block_at = np.concatenate(([0], np.cumsum(blocks))).astype(np.int64)
+        heads = np.repeat(start, blocks) + (np.arange(int(blocks.sum())) - np.repeat(self.block_at[:-1], blocks)) * BLOCK
+        self.block_last = unit[np.append(heads[1:], len(term))[: len(heads)] - 1]
+        self.block_top = np.maximum.reduceat(impact, heads) if len(heads) else np.zeros(0)
+        # essential terms: the heaviest of each unit
+        by = np.lexsort((term, -weight, unit))
+        run = np.cumsum(impact[by]) - impact[by]
+        starts = np.flatnonzero(np.append(True, unit[by][1:] != unit[by][:-1])[: len(by)])
+        run -= np.repeat(run[starts], np.diff(np.append(starts, len(by))))
+        heavy = by[run < max(ESSENTIAL, 1.05 - threshold)]
+        mass = np.bincount(unit[heavy], impact[heavy], len(units))
+        self.need = threshold - (1 - mass) - 1e-9
+        heavy = heavy[np.lexsort((unit[heavy], term[heavy]))]
+        self.essential, at = np.unique(term[heavy], return_index=True)
+        self.first = np.append(at, len(heavy))
+        self.essential_unit, self.essential_impact = unit[heavy], impact[heavy]
+
+    def postings(self, t: int) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray] | None:
+        """Units, impacts, largest impact, last unit and largest impact of each block of a term; None if no item has it."""
+        i = int(np.searchsorted(self.terms, np.uint64(t)))
+        if i == len(self.terms) or int(self.terms[i]) != t:
+            return None
+        p, b = slice(self.post_at[i], self.post_at[i + 1]), slice(self.block_at[i], self.block_at[i + 1])
+        return self.post_unit[p], self.post_impact[p], float(self.top[i]), self.block_last[b], self.block_top[b]
 
     def retrieve(self, terms: list[int]) -> dict[int, float]:
         """Units whose summed impacts over distinct terms reach the threshold, by block-max WAND."""
-        lists = [[self.postings[t], 0] for t in set(terms) if t in self.postings]
+        lists = [[p, 0] for t in sorted(set(terms)) if (p := self.postings(t)) is not None]
         out: dict[int, float] = {}
         limit = self.threshold - 1e-9
         while lists:
@@ -174,16 +225,15 @@ class ItemIndex:
         best: dict[int, float] = {}
         for w in self.passages(t, step):
             for unit, score in self.retrieve(t[w * step : w * step + PASSAGE].tolist()).items():
-                item = self.unit_item[unit]
+                item = int(self.unit_item[unit])
                 best[item] = max(best.get(item, 0.0), score)
         if not best:
             return []
         have = tk.shingle_set(t, SHINGLE)
         found = []
         for item in sorted(best):
-            question, answer = self.parts[item]
-            if self._held(question, have, t) >= QUESTION_SHARE and self._held(answer, have, t) >= ANSWER_SHARE:
-                found.append((self.item_ids[item], best[item]))
+            if self._held(self.questions[item], have, t) >= QUESTION_SHARE and self._held(self.answers[item], have, t) >= ANSWER_SHARE:
+                found.append((int(self.item_ids[item]), best[item]))
         return found
 
     @staticmethod
@@ -197,40 +247,120 @@ class ItemIndex:
         return max(float(np.isin(part, tk.window_hashes(t, k))[0]) for k in range(1, SHINGLE + 1))
 
 
+HIT = StructField("hits", ArrayType(StructType([StructField("item_id", LongType()), StructField("score", DoubleType())])))
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())]))
+
+
 class _Match:
-    def __init__(self, items: list[tuple[int, str]], threshold: float):
-        self.items, self.threshold = items, threshold
+    """Batches with a column text, and one more, hits: items that the text holds, with scores, by shard, then item."""
+
+    def __init__(self, shards: list[Broadcast]):
+        self.shards = shards
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(self.items, self.threshold)
+        alone = pickle.loads(self.shards[0].value) if len(self.shards) == 1 else None
+        held, size = [], 0
         for batch in batches:
-            *kept, text, hits = batch.columns
-            out = [had + [{"item_id": i, "score": round(x, 6)} for i, x in index.leaks(t.as_py())] for t, had in zip(text, hits.to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept, text, pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64())])))], names=batch.schema.names)
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if alone is not None or size > HELD_BYTES:
+                yield from self._block(held, alone)
+                held, size = [], 0
+        if held:
+            yield from self._block(held, alone)
 
+    def _block(self, held: list[pa.RecordBatch], alone: ItemIndex | None) -> Iterator[pa.RecordBatch]:
+        hits: list[list[list[dict]]] = [[[] for _ in range(b.num_rows)] for b in held]
+        for shard in self.shards:
+            index = alone or pickle.loads(shard.value)
+            if alone is None:
+                shard.__dict__.pop("_value", None)  # the worker keeps one index, not all
+            for batch, found in zip(held, hits, strict=True):
+                for text, own in zip(batch.column("text"), found, strict=True):
+                    own += [{"item_id": i, "score": round(x, 6)} for i, x in index.leaks(text.as_py())]
+        for batch, found in zip(held, hits, strict=True):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _HITS)], names=[*batch.schema.names, "hits"])
 
-def leaks(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
-    """The kept columns, _text and _hits (item and score, by shard, then item) of every row of docs."""
-    ship_package(docs.sparkSession)
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+
+def _unit_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """shard, term and units that have it, within a batch; term null: units and tokens of the batch."""
+    for batch in batches:
+        shard, term, n, size = [], [], [], []
+        for k, text in zip(batch.column("shard").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            t = tokens(text)
+            units = _units(t)
+            seen, counts = np.unique(np.concatenate([np.unique(u) for u in units] + [np.zeros(0, np.uint64)]), return_counts=True)
+            shard += [k] * (len(seen) + 1)
+            term += [*seen.view(np.int64).tolist(), None]
+            n += [*counts.tolist(), len(units)]
+            size += [*([0] * len(seen)), len(t)]
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(term, pa.int64()), pa.array(n, pa.int64()), pa.array(size, pa.int64())], names=["shard", "term", "n", "size"])
+
+
+class _Build:
+    """Rows sorted by shard and kind (term and frequency, then item and text): one index a shard."""
+
+    def __init__(self, threshold: float, n_units: int, mean: float):
+        self.threshold, self.n_units, self.mean = threshold, n_units, mean
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, terms, df, items = None, [], [], []
+        for batch in batches:
+            for shard, kind, key, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now and now is not None:
+                    yield self._index(now, terms, df, items)
+                    terms, df, items = [], [], []
+                now = shard
+                if kind:
+                    items.append((key, text))
+                else:
+                    terms.append(key), df.append(n)
+        if now is not None:
+            yield self._index(now, terms, df, items)
+
+    def _index(self, shard: int, terms: list[int], df: list[int], items: list[tuple[int, str]]) -> pa.RecordBatch:
+        s = Statistics(self.n_units, self.mean, np.array(terms, np.int64).view(np.uint64), np.array(df, np.int64))
+        blob = pickle.dumps(ItemIndex(items, self.threshold, s), pickle.HIGHEST_PROTOCOL)
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([blob], pa.binary())], names=["shard", "blob"])
+
+
+def shipped_index(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[Broadcast]:
+    """The benchmark's index, a broadcast for each shard (one at least)."""
+    spark = benchmark.sparkSession
+    scratch, items = Scratch(spark, "benchmark"), pick(benchmark, "item_id", "text").where("item_id is not null and text is not null")
     n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_shards = max(1, -(-n_bytes // SHARD_BYTES))
-    out = docs.select(*keep, F.col("text").alias("_text"), F.array().cast("array<struct<item_id:bigint,score:double>>").alias("_hits"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for shard in range(n_shards):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == shard).collect()  # about SHARD_BYTES
-        out = out.mapInArrow(_Match([(r.item_id, r.text) for r in part], threshold), kinds)
-    return out
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_shards)).cast("int").alias("shard")
+    items = items.select(shard, F.col("item_id").cast("long").alias("item_id"), "text")
+    counts = scratch.table(items.mapInArrow(_unit_terms, "shard int, term long, n long, size long"), "terms")
+    n_units, n_tokens = counts.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    df = counts.where("term is not null").groupBy("term").agg(F.sum("n").alias("n"))
+    terms = counts.where("term is not null").select("shard", "term").distinct().join(df, "term")
+    none, rows = F.lit(None).cast("string").alias("text"), items.select("shard", F.lit(1).alias("kind"), F.col("item_id").alias("key"), F.lit(0).cast("long").alias("n"), "text")
+    rows = rows.unionByName(terms.select("shard", F.lit(0).alias("kind"), F.col("term").alias("key"), "n", none))
+    built = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind", "key").mapInArrow(_Build(threshold, n_units, n_tokens / max(n_units, 1)), "shard int, blob binary")
+    built = scratch.table(built, "index")
+    out = []
+    for k in range(n_shards):
+        row = built.where(F.col("shard") == k).first()  # the driver holds one shard's index at a time
+        if row is not None:
+            out.append(spark.sparkContext.broadcast(bytes(row.blob)))
+    return out or [spark.sparkContext.broadcast(pickle.dumps(ItemIndex([], threshold)))]
+
+
+def _matched(packed: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """packed, which has a column text, with the column hits."""
+    ship_package(packed.sparkSession)
+    return packed.mapInArrow(_Match(shipped_index(benchmark, threshold)), StructType([*packed.schema.fields, HIT]))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id and score of every document and test item that it holds; clean documents have no row."""
-    hits = leaks(docs, benchmark, ("doc_id",), threshold).select("doc_id", F.explode("_hits").alias("h"))
+    hits = _matched(pick(docs, "doc_id", "text"), benchmark, threshold).select("doc_id", F.explode("hits").alias("h"))
     return hits.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.score").alias("score"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that hold no test item, all columns kept."""
-    kept = tuple(c for c in docs.columns if c != "text")
-    found = leaks(docs, benchmark, kept, threshold).where(F.size("_hits") == 0)
-    return found.select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    found = _matched(pack(docs, "text"), benchmark, threshold)
+    return unpack(found.where(F.size("hits") == 0), docs, "text")
