@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylens.llm import decontaminate, fingerprint, jaccard, mixing, quality, repeats, secrets, sharding, tokenstore, urlfilter
 
@@ -46,7 +46,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_repeats"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,14 +82,16 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     return span_hashes(raw, *word_spans(raw))
 
 
-def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive word hashes (ordered); empty if there are fewer than k."""
+def window_hashes(words: np.ndarray, k: int, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """Hash of every run of k consecutive word hashes (ordered); empty if there are fewer than k.
+
+    Another odd factor gives another hash of the same runs."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     acc = np.zeros(n, np.uint64)
     for i in range(k):
-        acc = acc * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n]
+        acc = acc * np.uint64(factor) + words[i : i + n]
     return mix(acc + np.uint64(k))
 
 
