@@ -4,9 +4,12 @@ Every line gets features of its own bytes and words and those of its neighbours,
 bad.  Forward-backward gives each line's probability of being good; a document's figure is their mean weighted
 by line length, turned into a probability by a logistic curve fitted on the same training rows.
 
-The model is fitted on at most MAX_TRAIN labelled rows, those with the smallest hashes among rows that may be
-learned from; a training document gives its label to its lines.  Features of training rows are computed on the
-executors; only they reach the driver.  Scoring is one pass over the texts with no shuffle.
+The model is fitted on at most MAX_TRAIN labelled ids, those with the smallest hashes among ids that may be
+learned from, one text each (of several texts of an id the smallest), and on at most MAX_LINES of their lines:
+texts are taken in hash order while their lines fit, and one of more than a tenth of MAX_LINES is not learned
+from.  A training document gives its label to its lines.  Features of training rows are computed on the
+executors; only they, N_FEATURES figures a line, reach the driver.  Scoring is one pass over the texts with no
+shuffle, in blocks of at most BLOCK_LINES lines and the lines of one text.
 
 Defined results: a null text or one without a word scores 0 (nothing of quality in it); repeated rows score
 alike; an empty documents table gives an empty table; without any usable label every text with words scores
@@ -20,12 +23,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarrylens.llm import textkit as tk
-from quarrylens.session import ship_package
+from quarrylens.llm.rows import pack, pick, unpack
+from quarrylens.session import Scratch, ship_package
 
-MAX_TRAIN, ROUNDS, PENALTY = 4000, 150, 1e-3
+MAX_TRAIN, MAX_LINES, ROUNDS, PENALTY = 4000, 200_000, 150, 1e-3
+BLOCK_LINES = 20_000
 _MARKS = b"!#$%&*|<>{}[]=_~^@/\\+"
 _KINDS = ("lower", "upper", "digit", "space", "other_letter", "sentence", "mark")
 _KIND = np.full(256, 6, np.int64)
@@ -204,13 +210,21 @@ def fold(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 3
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> LineModel:
-    """Fit on the max_train labelled rows with the smallest id hashes outside the held-out fold."""
-    ship_package(docs.sparkSession)
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_lines: int = MAX_LINES) -> LineModel:
+    """Fit on the max_train labelled ids with the smallest hashes outside the held-out fold, within max_lines lines."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    labels = pick(labels, "doc_id", "quality")
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 1))
     chosen = usable.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    rows = F.broadcast(chosen).join(docs.select("doc_id", "text"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
-    got = rows.mapInArrow(_training_rows, "doc_id long, quality int, n int, rows binary, weight binary").collect()  # at most max_train labelled ids
+    rows = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_train ids
+    rows = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "quality").agg(F.min("text").alias("text"))
+    rows = Scratch(spark, "quality").table(rows.withColumn("lines", F.size(F.split("text", "\n"))), "labelled")
+    some = rows.where(F.col("lines") <= max_lines // 10).withColumn("order", F.xxhash64("doc_id"))
+    upto = F.sum("lines").over(Window.orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = some.select("doc_id", "order", "lines").withColumn("upto", upto).where(F.col("upto") <= max_lines).select("doc_id")  # at most max_train rows
+    rows = rows.join(F.broadcast(fits), "doc_id").select("doc_id", "quality", "text")
+    got = rows.mapInArrow(_training_rows, "doc_id long, quality int, n int, rows binary, weight binary").collect()  # at most max_train ids and max_lines lines
     got.sort(key=lambda r: (r.doc_id, r.n, bytes(r.weight)))
     if len({r.quality for r in got}) < 2:
         return LineModel()
@@ -228,7 +242,7 @@ class _Score:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, scores = batch.column(batch.num_columns - 1), np.zeros(batch.num_rows)
+            texts, scores = batch.column("text"), np.zeros(batch.num_rows)
             rows, weights, lengths, at, held = [], [], [], [], 0
 
             def flush() -> None:
@@ -242,19 +256,22 @@ class _Score:
                 if len(w):
                     rows.append(x), weights.append(w), lengths.append(len(w)), at.append(i)
                     held += len(w)
-                    if held > 20_000:
+                    if held > BLOCK_LINES:
                         flush()
                         held = 0
             flush()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "score"])
 
 
-def score_documents(docs: DataFrame, model: LineModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and score of every row."""
-    ship_package(docs.sparkSession)
-    picked = docs.select(*keep, F.col("text").alias("_scored"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[:-1])
-    return picked.mapInArrow(_Score(model), f"{kinds}, score double")
+def _scored(packed: DataFrame, model: LineModel) -> DataFrame:
+    """packed, which has a column text, with the column score."""
+    ship_package(packed.sparkSession)
+    return packed.mapInArrow(_Score(model), StructType([*packed.schema.fields, StructField("score", DoubleType())]))
+
+
+def score_documents(docs: DataFrame, model: LineModel) -> DataFrame:
+    """doc_id and score of every row."""
+    return _scored(pick(docs, "doc_id", "text"), model).select("doc_id", "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
@@ -264,9 +281,6 @@ def quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The rows of docs that score at least threshold, all columns kept."""
-    model = train(docs, labels, max_train)
-    scored = score_documents(docs, model, tuple(docs.columns)) if "score" not in docs.columns and "_scored" not in docs.columns else None
-    if scored is None:
-        raise ValueError("documents must not have a column named score or _scored")
-    return scored.where(F.col("score") >= threshold).select(*docs.columns)
+    """The rows of docs that score at least threshold, all columns kept whatever their names."""
+    scored = _scored(pack(docs, "text"), train(docs, labels, max_train))
+    return unpack(scored.where(F.col("score") >= threshold), docs, "text")
