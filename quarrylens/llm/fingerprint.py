@@ -10,7 +10,8 @@ Symbols are 8-bit hashes of code points; a fingerprint is the octave in two hex
 each sampled step that the walk reached.  Likeness is the share of equal symbols among the steps of the coarser
 octave that either walk reached.  Equal texts have equal fingerprints.
 
-Walks run side by side for all texts of a batch, longest first, so each step is a few array operations.
+Walks run side by side for all texts of a batch, longest first, so each step is a few array operations; once few
+are left, such as one very long text, they run one after another through blocks of steps.
 
 Defined results: a null text is the empty text, whose fingerprint is `00` and which is like itself (1) and like
 nothing else (0); rows with equal ids stand in text order, null ids last; a single row's next document is
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrylens.llm import textkit as tk
+from quarrylens.llm.rows import pick
 from quarrylens.operators.components import components
 from quarrylens.session import Scratch, ship_package
 
@@ -35,6 +37,7 @@ N_BANDS, BAND_SYMBOLS = 24, 6
 _CUTS, _MOST_BUCKETS = 200, 20_000
 _BATCH_CHARS = 1 << 24
 _STEP_BLOCK = 4096
+_FEW = 40  # walks that are faster one by one than side by side
 _BITS: dict[int, np.ndarray] = {}
 _STEPS: dict[int, np.ndarray] = {}
 _PICKS: dict[int, list[np.ndarray]] = {}
@@ -98,7 +101,18 @@ def walk(symbols: list[np.ndarray]) -> list[bytes]:
     wanted = set().union(*(g[2] for g in groups))
     pointer = firsts[:n].copy()
     active, step, last = int((size > 0).sum()), 0, 1 << int(octaves.max(initial=0))
+    sampled = np.array(sorted(wanted), np.int64)
+    group_of = [g for g in groups for _ in range(g[0], g[1])]
     while active and step < last:
+        if active <= _FEW:
+            stops = (sampled[np.searchsorted(sampled, step) : np.searchsorted(sampled, min(step + _STEP_BLOCK, last))] - step).tolist()
+            for rank in range(active):
+                lo, _, column, table = group_of[rank]
+                pointer[rank] = _alone(data, int(pointer[rank]), step, min(_STEP_BLOCK, last - step), stops, column, table[rank - lo])
+            step += _STEP_BLOCK
+            alive = np.flatnonzero(data[pointer[:active]])
+            active = int(alive[-1]) + 1 if len(alive) else 0
+            continue
         bits = _bits(step // _STEP_BLOCK)
         at = pointer[:active]
         for j in range(min(_STEP_BLOCK, last - step)):
@@ -119,6 +133,20 @@ def walk(symbols: list[np.ndarray]) -> list[bytes]:
     return out
 
 
+def _alone(data: np.ndarray, at: int, step: int, n: int, stops: list[int], column: dict[int, int], row: np.ndarray) -> int:
+    """Takes one walk from the given place through n steps; writes its symbols at those stops that its octave samples."""
+    moves = _bits(step // _STEP_BLOCK).tobytes()
+    near = data[at : at + n + 1].tobytes()  # a walk moves by one at most
+    p, j = 0, 0
+    for stop in (*(s for s in stops if step + s in column), n):
+        for base in range(j << 8, stop << 8, 256):
+            p += moves[base + near[p]]
+        j = stop
+        if stop < n:
+            row[column[step + stop]] = near[p]
+    return at + p
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """The fingerprint of each text."""
     symbols = [_symbols(t) for t in texts]
@@ -221,7 +249,7 @@ def fingerprint_documents(docs: DataFrame, rows_a_bucket: int = 2000) -> DataFra
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bucket = _buckets(rows, rows_a_bucket)
     if bucket is None:
         return spark.createDataFrame([], RESULT)
@@ -344,7 +372,7 @@ def _links(nodes: DataFrame, least: float) -> DataFrame:
 def near_links(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Verified links (a, b, likeness) of texts that share a band, enough of them to join each group.  Ids must be unique."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("doc_id is not null")
+    rows = pick(docs, id="doc_id", text="text").select(F.col("id").cast("long").alias("id"), "text").where("id is not null")
     return _links(Scratch(docs.sparkSession, "prints").table(rows.mapInArrow(_prints, "id long, fingerprint string"), "prints"), least)
 
 
