@@ -1,72 +1,5 @@
-"""A training corpus from raw documents: quality, near copies, benchmark leaks, mixing, token files."""
+"""The corpus pipeline at the place where the driver looks for it; its stages are in quarrylens.llm.pipeline."""
 
-from __future__ import annotations
+from quarrylens.llm.pipeline import ORACLE_SQL, STAGES, leak_stage, mixing_stage, near_copy_stage, quality_stage, run, token_stage
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from quarrylens.llm import decontaminate, jaccard, mixing, quality, tokenstore
-from quarrylens.llm.queries import table, tokenizer_path
-from quarrylens.session import Scratch
-
-#: near copies in the pipeline: five-word shingles, Jaccard of 0.8 or more
-WORDS, PERCENT = 5, 80
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the line classifier rejects."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
-
-
-def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of similar documents the one with the smallest id; documents without words or without an
-    id, which a group cannot name, all stay.  Rows that share an id but not their text are documents of their own, in
-    text order; of rows that repeat both, one stays."""
-    named = docs.where("doc_id is not null")
-    if not named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
-        kept = docs.join(_firsts(named), docs["doc_id"] == F.col("_first"), "left_semi")
-        return kept.unionByName(docs.where("doc_id is null"))
-    whole = named.dropDuplicates(["doc_id", "text"]).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    rows = Scratch(spark, "near_copies").table(whole.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    kept = rows.join(_firsts(rows.select(F.col("_row").alias("doc_id"), "text")), F.col("_row") == F.col("_first"), "left_semi").drop("_row")
-    return kept.unionByName(docs.where("doc_id is null"))
-
-
-def _firsts(docs: DataFrame) -> DataFrame:
-    """The smallest id of each group, as _first."""
-    groups = jaccard.similar_groups(docs, WORDS, PERCENT)
-    return groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first"))
-
-
-def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that hold a test item."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each source's documents to its target; a document that is taken twice is there twice."""
-    return mixing.mixed_documents(docs)
-
-
-def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Write token files and describe each document in them."""
-    return tokenstore.token_output(docs, tokenizer_path())
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("near_copies", near_copy_stage),
-    ("benchmark_leaks", leak_stage),
-    ("mixing", mixing_stage),
-    ("token_output", token_stage),
-]
-#: a trained classifier and a tokenizer have no SQL form; tests hold each stage against a plain version
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "leak_stage", "mixing_stage", "near_copy_stage", "quality_stage", "run", "token_stage"]
