@@ -79,8 +79,7 @@ def _js(facts: Facts) -> None:
     c = facts.code
     for call in c.calls:
         if call.receiver and call.name in _VERBS and call.args and (path := c.string_value(*call.args[0])) is not None:
-            if not re.fullmatch(r"axios|https?", call.receiver):
-                facts.route(call.name, path, (call.start, call.end), "call_expression", _middle_auth(facts, call.args[1:]), _handler(facts, call))
+            facts.route(call.name, path, (call.start, call.end), "call_expression", _middle_auth(facts, call.args[1:]), _handler(facts, call))
         if call.callee == "fetch" or call.callee == "axios" or call.receiver == "axios":
             facts.http_call(call)
     for owner in (d for d in c.definitions if d.kind == "class"):
@@ -132,7 +131,7 @@ def _jvm(facts: Facts) -> None:
     if c.language != "scala":
         for d in (x for x in c.definitions if x.kind in ("method", "function")):
             marks = _annotations(facts, d)
-            guard = next((n for n, _, _ in marks if n in ("PreAuthorize", "Secured", "RolesAllowed")), None)
+            guard = next((n for n, _, _ in marks if n in ("PreAuthorize", "Secured", "RolesAllowed") or _is_auth(n)), None)
             for name, text, at in marks:
                 if name in SPRING or name == "RequestMapping":
                     m = re.search(r"METHOD\.(GET|POST|PUT|DELETE|PATCH)", text.upper())

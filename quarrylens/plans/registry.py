@@ -223,34 +223,34 @@ def _no_files(spark):
     return spark.createDataFrame([], "path string")
 
 
-def _resolved(spark, sf_dir, least):
-    return R.resolve_references(V.references(spark, sf_dir, least), _no_imports(spark), V.symbols(spark, sf_dir), _no_files(spark))
+def _resolved(spark, sf_dir):
+    return R.resolve_references(V.references(spark, sf_dir), _no_imports(spark), V.symbols(spark, sf_dir), _no_files(spark))
 
 
 @query(f"""WITH {_TIERS} SELECT source_file, method AS resolution_method, count(*)::BIGINT AS n, coalesce(sum(target_line), 0)::BIGINT AS lines, count(DISTINCT target_file)::BIGINT AS targets, round(avg(c), 6)::DOUBLE AS avg_confidence
 FROM final GROUP BY 1, 2""")
-def symbol_resolve_tiers(spark, sf_dir, least=46):
-    r = _resolved(spark, sf_dir, least)
+def symbol_resolve_tiers(spark, sf_dir):
+    r = _resolved(spark, sf_dir)
     return r.groupBy("source_file", "resolution_method").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("target_line"), F.lit(0).cast("long")).alias("lines"), F.count_distinct("target_file").alias("targets"), F.round(F.avg("confidence"), 6).alias("avg_confidence")
     )
 
 
 @query(f"WITH {_TIERS} SELECT method AS resolution_method, count(*)::BIGINT AS n FROM final GROUP BY 1")
-def resolution_distribution(spark, sf_dir, least=46):
-    return A.histogram(_resolved(spark, sf_dir, least), "resolution_method")
+def resolution_distribution(spark, sf_dir):
+    return A.histogram(_resolved(spark, sf_dir), "resolution_method")
 
 
 @query(f"""WITH {_TIERS} SELECT count(*)::BIGINT AS total, sum(CASE WHEN c > 0 THEN 1 ELSE 0 END)::BIGINT AS resolved, round(avg(c), 6)::DOUBLE AS avg_confidence FROM final WHERE c >= 0.6""")
-def filtered_model(spark, sf_dir, least=46):
-    r = A.filtered_references(_resolved(spark, sf_dir, least), 0.6)
+def filtered_model(spark, sf_dir):
+    r = A.filtered_references(_resolved(spark, sf_dir), 0.6)
     return r.agg(F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("confidence") > 0, 1).otherwise(0)).alias("resolved"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
 
 
 @query(f"""WITH {_TIERS} SELECT {_DIR.format('source_file')} AS source_dir, {_DIR.format('target_file')} AS target_dir, count(*)::BIGINT AS reference_count, round(avg(c), 6)::DOUBLE AS avg_confidence, max(c)::DOUBLE AS max_confidence
 FROM final WHERE target_file IS NOT NULL AND m <> 'unresolved' AND {_DIR.format('source_file')} <> {_DIR.format('target_file')} GROUP BY 1, 2""")
-def directory_dependencies(spark, sf_dir, least=46):
-    return A.directory_dependencies(_resolved(spark, sf_dir, least)).withColumn("avg_confidence", F.round("avg_confidence", 6))
+def directory_dependencies(spark, sf_dir):
+    return A.directory_dependencies(_resolved(spark, sf_dir)).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 _PROBE = f"""{V.FILES}, {V.IMPORTS}, tries AS (SELECT import_id, file, i.lang, i.src_dir, source, CASE doc_id % 4 WHEN 0 THEN src_dir || '/' || lang || substr(source, 2) WHEN 1 THEN src_dir || '/' || lang || '/d' || doc_id::VARCHAR || '.test.ts' ELSE 'gone/x' END AS base, doc_id FROM v_imports i WHERE doc_id % 4 <> 2),
@@ -392,22 +392,22 @@ def graph_type_counts(spark, sf_dir):
     return A.histogram(G.KnowledgeGraph.from_facts(_facts(spark, sf_dir)).edges, "kind")
 
 
-def _part_graph(spark, sf_dir, least):
-    e = V.edges(spark, sf_dir, least)
+def _part_graph(spark, sf_dir):
+    e = V.edges(spark, sf_dir)
     none = F.lit(None).cast("string")
     p = V.table(spark, sf_dir, "part")
     nodes = p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("symbol").alias("type"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_partkey").alias("line"), none.alias("kind"), none.alias("method"), none.alias("path"))
     return G.KnowledgeGraph(nodes, e)
 
 
-@query(f"""WITH {V.edges_sql(48)} SELECT p_partkey::VARCHAR AS id, (SELECT count(*) FROM v_edges WHERE dst = p_partkey::VARCHAR)::BIGINT AS in_degree, (SELECT count(*) FROM v_edges WHERE src = p_partkey::VARCHAR)::BIGINT AS out_degree FROM part""")
-def degree_centrality(spark, sf_dir, least=48):
-    g = _part_graph(spark, sf_dir, least)
+@query(f"""WITH {V.EDGES} SELECT p_partkey::VARCHAR AS id, (SELECT count(*) FROM v_edges WHERE dst = p_partkey::VARCHAR)::BIGINT AS in_degree, (SELECT count(*) FROM v_edges WHERE src = p_partkey::VARCHAR)::BIGINT AS out_degree FROM part""")
+def degree_centrality(spark, sf_dir):
+    g = _part_graph(spark, sf_dir)
     return G.degrees(g.nodes, g.edges).select("id", "in_degree", "out_degree")
 
 
 def _walk_sql(a: str, b: str) -> str:
-    return f"""WITH RECURSIVE {V.edges_sql(48)}, seed AS (SELECT p_partkey::VARCHAR AS id FROM part WHERE p_name = (SELECT min(p_name) FROM part)),
+    return f"""WITH RECURSIVE {V.EDGES}, seed AS (SELECT p_partkey::VARCHAR AS id FROM part WHERE p_name = (SELECT min(p_name) FROM part)),
 w AS (SELECT id, 0 AS depth FROM seed UNION SELECT {b}, depth + 1 FROM w JOIN v_edges ON {a} = id WHERE depth < 3)
 SELECT id, min(depth)::INT AS depth FROM w WHERE id NOT IN (SELECT id FROM seed) GROUP BY id"""
 
@@ -417,13 +417,13 @@ def _first_name(spark, sf_dir):
 
 
 @query(_walk_sql("dst", "src"))
-def callers_depth3(spark, sf_dir, least=48):
-    return T.callers(_part_graph(spark, sf_dir, least), _first_name(spark, sf_dir), 3)
+def callers_depth3(spark, sf_dir):
+    return T.callers(_part_graph(spark, sf_dir), _first_name(spark, sf_dir), 3)
 
 
 @query(_walk_sql("src", "dst"))
-def callees_depth3(spark, sf_dir, least=48):
-    return T.callees(_part_graph(spark, sf_dir, least), _first_name(spark, sf_dir), 3)
+def callees_depth3(spark, sf_dir):
+    return T.callees(_part_graph(spark, sf_dir), _first_name(spark, sf_dir), 3)
 
 
 def _levels_sql(n: int) -> str:
@@ -433,46 +433,56 @@ def _levels_sql(n: int) -> str:
     return out
 
 
-@query(f"WITH {V.edges_sql(44)}, {_levels_sql(3)} " + " UNION ALL ".join(f"SELECT id, {k}::INT AS depth, round(c, 6)::DOUBLE AS confidence FROM l{k}" for k in (1, 2, 3)))
-def impact_analysis(spark, sf_dir, least=44):
-    return T.impact(_part_graph(spark, sf_dir, least), _first_name(spark, sf_dir), 3).withColumn("confidence", F.round("confidence", 6))
+@query(f"WITH {V.EDGES}, {_levels_sql(3)} " + " UNION ALL ".join(f"SELECT id, {k}::INT AS depth, round(c, 6)::DOUBLE AS confidence FROM l{k}" for k in (1, 2, 3)))
+def impact_analysis(spark, sf_dir):
+    return T.impact(_part_graph(spark, sf_dir), _first_name(spark, sf_dir), 3).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT 'down' AS direction, c_name AS name, 1::INT AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 UNION ALL SELECT 'up', 'top', 1")
-def type_hierarchy(spark, sf_dir, region=1):
-    n = V.table(spark, sf_dir, "nation")
-    n = (n if region is None else n.where(F.col("n_regionkey") == region)).select(F.col("n_nationkey").alias("c_nationkey"))
-    c = V.table(spark, sf_dir, "customer").join(n, "c_nationkey").select("c_name")
+@query("SELECT 'down' AS direction, c_name AS name, 1::INT AS depth FROM customer UNION ALL SELECT 'up', 'top', 1")
+def type_hierarchy(spark, sf_dir):
+    c = V.table(spark, sf_dir, "customer")
     e = c.select(F.col("c_name").alias("src"), F.lit("base").alias("dst"), F.lit("extends").alias("kind"), F.lit(1.0).alias("confidence"))
     e = e.unionByName(spark.createDataFrame([("base", "top", "implements", 1.0)], e.schema))
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().select("id", F.lit("symbol").alias("type"), F.col("id").alias("name"))
     return T.type_hierarchy(G.KnowledgeGraph(nodes, e), "base", "both").select("direction", F.col("id").alias("name"), "depth")
 
 
-@query(f"""WITH RECURSIVE {V.edges_sql(49)}, r AS (SELECT src AS a, dst AS b FROM v_edges UNION SELECT a, dst FROM r JOIN v_edges ON b = src)
+@query(f"""WITH RECURSIVE {V.EDGES}, r AS (SELECT src AS a, dst AS b FROM v_edges UNION SELECT a, dst FROM r JOIN v_edges ON b = src)
 SELECT x.a AS id, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""")
-def scc_cycles(spark, sf_dir, least=49):
-    return T.cycles(V.edges(spark, sf_dir, least))
+def scc_cycles(spark, sf_dir):
+    return T.cycles(V.edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {V.edges_sql(50)}, b AS (SELECT src AS x, dst AS y FROM v_edges UNION SELECT dst, src FROM v_edges), r AS (SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x)
-SELECT p_partkey::VARCHAR AS id, coalesce((SELECT least(min(y), p_partkey::VARCHAR) FROM r WHERE x = p_partkey::VARCHAR), p_partkey::VARCHAR) AS component FROM part""")
-def wcc(spark, sf_dir, least=50):
-    g = _part_graph(spark, sf_dir, least)
+@query(f"""WITH RECURSIVE {V.EDGES}, b AS (SELECT src AS x, dst AS y FROM v_edges UNION SELECT dst, src FROM v_edges),
+r(x, c) USING KEY (x) AS (SELECT p_partkey::VARCHAR, p_partkey::VARCHAR FROM part
+  UNION SELECT b.y, min(r.c) FROM r JOIN b ON r.x = b.x JOIN recurring.r AS o ON o.x = b.y WHERE r.c < o.c GROUP BY b.y)
+SELECT x AS id, c AS component FROM r""")
+def wcc(spark, sf_dir):
+    g = _part_graph(spark, sf_dir)
     return G.weak_components(g.nodes, g.edges)
 
 
-@query(f"""WITH {V.edges_sql(48)}, d AS (SELECT p_partkey::VARCHAR AS id, p_name, (SELECT count(*) FROM v_edges WHERE dst = p_partkey::VARCHAR) AS i, (SELECT count(*) FROM v_edges WHERE src = p_partkey::VARCHAR) AS o FROM part)
-SELECT id, CASE WHEN o >= 2 AND o / greatest(i, 1) >= 3.0 THEN 'high_fan_out_low_fan_in' ELSE 'name_pattern' END AS reason, o::BIGINT AS out_degree, i::BIGINT AS in_degree FROM d
-WHERE (o >= 2 AND o / greatest(i, 1) >= 3.0) OR regexp_matches(lower(p_name), '{_words(rules.ENTRY_WORDS)}')""")
-def entry_points(spark, sf_dir, least=48):
-    g = _part_graph(spark, sf_dir, least)
+_ENTRIES = f"""d AS (SELECT id, name, type, coalesce(i, 0) AS i, coalesce(o, 0) AS o FROM v_nodes LEFT JOIN (SELECT dst AS id, count(*) AS i FROM v_calls GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, count(*) AS o FROM v_calls GROUP BY 1) USING (id)),
+v_entries AS (SELECT id, CASE WHEN o >= 2 AND o / greatest(i, 1) >= 3.0 THEN 'high_fan_out_low_fan_in' ELSE 'name_pattern' END AS reason, o::BIGINT AS out_degree, i::BIGINT AS in_degree FROM d
+  WHERE (o >= 2 AND o / greatest(i, 1) >= 3.0) OR (type = 'symbol' AND regexp_matches(lower(name), '{_words(rules.ENTRY_WORDS)}')))"""
+
+
+def _trade_graph(spark, sf_dir):
+    return G.KnowledgeGraph(V.trade_nodes(spark, sf_dir), V.trade_edges(spark, sf_dir))
+
+
+@query(f"WITH {V.TRADE}, {_ENTRIES} SELECT * FROM v_entries")
+def entry_points(spark, sf_dir):
+    g = _trade_graph(spark, sf_dir)
     return passes.entry_points(G.degrees(g.nodes, g.edges)).select("id", "reason", "out_degree", "in_degree")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.TRADE}, {_ENTRIES}, w(entry, id, depth) USING KEY (entry, id) AS (SELECT id, id, 0 FROM v_entries
+  UNION SELECT DISTINCT w.entry, dst, w.depth + 1 FROM w JOIN v_calls ON src = w.id LEFT JOIN recurring.w AS o ON o.entry = w.entry AND o.id = dst WHERE w.depth < {rules.FLOW_DEPTH} AND o.id IS NULL)
+SELECT entry, string_agg(name, '>' ORDER BY depth, name, id) AS names, coalesce(array_to_string(list_sort(list(DISTINCT file) FILTER (file IS NOT NULL)), ','), '') AS files, max(depth)::INT AS depth, bool_or(type = 'external') AS reaches_external
+FROM w JOIN v_nodes USING (id) GROUP BY entry HAVING count(*) > 1""")
 def process_flows(spark, sf_dir):
-    g = _part_graph(spark, sf_dir, None)
+    g = _trade_graph(spark, sf_dir)
     e = passes.entry_points(G.degrees(g.nodes, g.edges))
     return passes.process_flows(g, e).select("entry", F.array_join("names", ">").alias("names"), F.array_join("files_touched", ",").alias("files"), "depth", "reaches_external")
 
@@ -491,24 +501,8 @@ def graph_json(spark, sf_dir):
     return lines.where(F.col("v.data.type").isin("symbol", "file")).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("v.label").alias("nodes"))
 
 
-# --- the operators above whose SQL reads a slice of its table, over the whole table; checked against plain versions
-
-
-def _whole(f: Callable, **cut) -> None:
-    def run(spark, sf_dir):
-        return f(spark, sf_dir, **cut)
-
-    run.__name__ = f"{f.__name__}_whole"
-    query()(run)
-
-
-for _f in (symbol_resolve_tiers, resolution_distribution, filtered_model, directory_dependencies, degree_centrality, callers_depth3, callees_depth3, impact_analysis, scc_cycles, wcc, entry_points):
-    _whole(_f, least=None)
-_whole(type_hierarchy, region=None)
-
-
 def queries() -> dict[str, Query]:
-    from quarrylens.plans import source_queries  # noqa: F401 - registers the queries over source text
+    from quarrylens.plans import language_queries, source_queries  # noqa: F401 - register the queries over source text
 
     return dict(_QUERIES)
 

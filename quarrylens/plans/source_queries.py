@@ -96,9 +96,9 @@ def model_entry_points(spark, sf_dir):
     return found["entry_points"].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT 'p' || page_id || '.js' AS path, n AS captured FROM (SELECT page_id, regexp_extract(html, 'track\((\d+)\)', 1) AS n FROM pages) WHERE n <> ''")
+@query(r"""SELECT 'p' || page_id || '.js' AS path, unnest(regexp_extract_all(array_to_string(regexp_extract_all(html, '<script>(.*?)</script>', 1, 's'), chr(10)), 'track\((\d+)\)', 1)) AS captured FROM pages""")
 def structural_search(spark, sf_dir):
-    p = V.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1).alias("content"))
+    p = V.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.array_join(F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), F.lit(1)), "\n").alias("content"))
     found = StructuralSearch([SearchPattern("track", "javascript", "track($N)")]).search(p)
     return found.select("path", F.col("captured_vars")["N"].alias("captured"))
 

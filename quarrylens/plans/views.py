@@ -36,10 +36,9 @@ SYMBOLS = """v_symbols AS (SELECT p_name AS name, p_type || '/' || p_brand || '.
   CASE WHEN p_size % 2 = 0 THEN 'public' ELSE 'private' END AS visibility FROM part)"""
 
 
-def references(spark: SparkSession, sf_dir: str, least: int | None = 46) -> DataFrame:
-    """lineitem, of large quantities or (least is None) all of it, as calls from the part's file to the name of another part."""
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as calls from the part's file to the name of another part."""
     li = table(spark, sf_dir, "lineitem")
-    li = li if least is None else li.where(F.col("l_quantity") >= least)
     p = table(spark, sf_dir, "part")
     a = p.select(F.col("p_partkey").alias("l_partkey"), F.concat("p_type", F.lit("/"), "p_brand", F.lit(".ts")).alias("source_file"), F.col("p_name").alias("source_symbol"))
     b = p.select(F.col("p_partkey").alias("l_suppkey"), F.col("p_name").alias("callee"))
@@ -54,22 +53,48 @@ def references(spark: SparkSession, sf_dir: str, least: int | None = 46) -> Data
 REFERENCES = """v_refs AS (SELECT a.p_name AS source_symbol, a.p_type || '/' || a.p_brand || '.ts' AS source_file, l_orderkey AS source_line,
   CASE WHEN l_linenumber % 7 = 0 THEN 'nowhere' WHEN l_linenumber % 2 = 0 THEN 'obj.' || b.p_name ELSE b.p_name END AS target_symbol,
   CASE WHEN l_linenumber = 5 THEN 0.85 ELSE 0.0 END AS confidence
-  FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey WHERE l_quantity >= 46)"""
+  FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey)"""
 
 
-def edges(spark: SparkSession, sf_dir: str, least: int | None) -> DataFrame:
-    """Distinct edges from a part to the next part of its order, for rows of at least some quantity or (None) all."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges from a part to the next part of its order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    li = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_partkey").cast("string").alias("src"), F.lead("l_partkey").over(w).cast("string").alias("dst"), (1 - F.col("l_discount")).alias("c"))
-    li = li if least is None else li.where(F.col("l_quantity") >= least)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("src"), F.lead("l_partkey").over(w).cast("string").alias("dst"), (1 - F.col("l_discount")).alias("c"))
     e = li.where(F.col("dst").isNotNull() & (F.col("src") != F.col("dst")))
     return e.groupBy("src", "dst").agg(F.max("c").alias("confidence")).withColumn("kind", F.lit("calls"))
 
 
-def edges_sql(least: int) -> str:
-    return f"""v_edges AS (SELECT src, dst, max(c) AS confidence FROM (SELECT l_quantity, l_partkey::VARCHAR AS src,
+EDGES = """v_edges AS (SELECT src, dst, max(c) AS confidence FROM (SELECT l_partkey::VARCHAR AS src,
   (lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))::VARCHAR AS dst, 1 - l_discount AS c FROM lineitem)
-  WHERE l_quantity >= {least} AND dst IS NOT NULL AND src <> dst GROUP BY src, dst)"""
+  WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)"""
+
+
+def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, type, name and file of customers, orders and parts as symbols and of nations as external."""
+    of = lambda t, mark, key, name, file, kind="symbol": table(spark, sf_dir, t).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("id"), F.lit(kind).alias("type"), name.alias("name"), file.alias("file"))
+    parts = [
+        of("customer", "c", "c_custkey", F.col("c_name"), F.col("c_mktsegment")),
+        of("orders", "o", "o_orderkey", F.concat(F.lit("order"), F.col("o_orderkey").cast("string")), F.col("o_orderpriority")),
+        of("part", "p", "p_partkey", F.col("p_name"), F.col("p_brand")),
+        of("nation", "n", "n_nationkey", F.col("n_name"), F.lit(None).cast("string"), "external"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of customers to their orders, of orders to their parts, of parts to the nations that supply them."""
+    name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    e = table(spark, sf_dir, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"))
+    e = e.union(table(spark, sf_dir, "lineitem").select(name("o", "l_orderkey"), name("p", "l_partkey"))).union(li.select(name("p", "l_partkey"), name("n", "s_nationkey")))
+    return e.distinct().select("src", "dst", F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"))
+
+
+TRADE = """v_nodes AS (SELECT 'c' || c_custkey AS id, 'symbol' AS type, c_name AS name, c_mktsegment AS file FROM customer UNION ALL
+  SELECT 'o' || o_orderkey, 'symbol', 'order' || o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'p' || p_partkey, 'symbol', p_name, p_brand FROM part UNION ALL
+  SELECT 'n' || n_nationkey, 'external', n_name, NULL FROM nation),
+v_calls AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION
+  SELECT 'p' || l_partkey, 'n' || s_nationkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"""
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:

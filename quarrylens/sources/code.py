@@ -168,6 +168,7 @@ class Code:
         """Calls by position; a call on the result of another starts where that one starts."""
         out, begun = [], {}
         declared = {d.extra["open"] for d in self.definitions if "open" in d.extra}
+        heads = [(d.start, d.body if d.body is not None else d.end) for d in self.definitions if self.language == "kotlin" and d.kind in ("class", "interface")]
         at = 0
         while m := _CALL.search(self.masked, at):
             at = m.end()
@@ -182,6 +183,8 @@ class Code:
                 name, start = name[1:], start + 1
             if self.family == "dotnet" and not m[1] and re.search(r"(?:^|[;{}\])])\s*\[[\w\s,.()\"]*$", self.masked[max(0, start - 200) : start]):
                 continue  # an attribute
+            if any(a <= m.start(2) < b for a, b in heads):
+                continue  # a constructor in the head of a class
             if opened in declared or re.split(r"\W+", name)[-1] in _KEYWORDS or (not m[1] and name in _KEYWORDS):
                 continue
             end = self.close(opened) + 1
@@ -197,6 +200,8 @@ class Code:
         from quarrylens.sources.definitions import find_definitions
 
         found = find_definitions(self)
+        members = {(d.start, d.name) for d in found if d.kind == "method"}
+        found = [d for d in found if d.kind != "function" or (d.start, d.name) not in members]
         types = [d for d in found if d.kind in ("class", "interface", "enum", "struct", "trait", "module", "impl")]
         for d in found:
             if d.parent is None:
