@@ -299,3 +299,27 @@ def test_edits(spark):
     old = spark.createDataFrame([("p", "x = 1"), ("q", "same")], "path string, content string")
     new = spark.createDataFrame([("p", "x = 12"), ("q", "same"), ("r", "new")], "path string, content string")
     assert [(r.path, r.start_byte, r.old_end_byte, r.new_end_byte) for r in edits(old, new).collect()] == [("p", 5, 5, 6)]
+
+
+@pytest.mark.parametrize("small", [0, 1_000_000])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, small):
+    from quarrylens.operators import components as C
+
+    monkeypatch.setattr(C, "SMALL", small)
+    rng = random.Random(31)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2001 + i) for i in range(30)] + [(7, 7)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    linked = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in linked}
+    words = [(f"n{a}é", f"n{b}é") for a, b in links]
+    named = {r.node: r.component for r in components(spark.createDataFrame(words, "a string, b string")).collect()}
+    group = {}
+    for x in linked:
+        group.setdefault(find(x), []).append(f"n{x}é")
+    assert named == {x: min(g) for g in group.values() for x in g}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
