@@ -28,6 +28,7 @@ _FACTS = {
     "data_models": f"name: string, model_kind: string, fields: array<struct<name: string, field_type: string, line: bigint, visibility: string>>, parent_type: string, implemented_interfaces: array<string>, {_AT}",
     "env_dependencies": f"var_name: string, {_AT}",
 }
+FACT_NAMES = tuple(_FACTS)
 SCHEMA = "path string, error string, " + ", ".join(f"{k} array<struct<{v}>>" for k, v in _FACTS.items())
 
 _PII = re.compile("|".join(rules.PII_WORDS))
@@ -387,29 +388,29 @@ class _Extract:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, text, language in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row: dict = {"path": path, "error": None}
-                try:
-                    row |= extract_text(path, text, language)
-                except Exception as e:  # noqa: BLE001 - one unreadable file must not fail the job
-                    row |= {k: [] for k in _FACTS} | {"error": f"{type(e).__name__}: {e}"}
-                out.append(row)
-                if len(out) == 200:
-                    yield pa.RecordBatch.from_pylist(out, schema=self.schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=self.schema)
-
-
-def extract(files: DataFrame) -> DataFrame:
-    """files(path, content[, language]) -> one row a file with arrays of facts; files of no known language go."""
+            for lo in range(0, batch.num_rows, 200):
+                part, out = batch.slice(lo, 200), []
+                for path, text, language in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    row: dict = {"path": path, "error": None}
+                    try:
+                        row |= extract_text(path, text, language)
+                    except Exception as e:  # noqa: BLE001 - one unreadable file must not fail the job
+                        row |= {k: [] for k in _FACTS} | {"error": f"{type(e).__name__}: {e}"}
+                    out.append(row)
+                facts = pa.RecordBatch.from_pylist(out, schema=self.schema)
+                yield pa.RecordBatch.from_arrays([*facts.columns, *part.columns[3:]], names=[*facts.schema.names, *part.schema.names[3:]])
+
+
+def extract(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """files(path, content[, language]) -> one row a file with arrays of facts, and the columns to keep; files of no known language go."""
     spark = files.sparkSession
     ship_package(spark)
     known = files.withColumn("language", F.coalesce("language", S.language(F.col("path")))) if "language" in files.columns else files.withColumn("language", S.language(F.col("path")))
-    known = known.where(F.col("language").isNotNull() & F.col("content").isNotNull()).select("path", "content", "language")
-    schema = to_arrow_schema(StructType(spark.createDataFrame([], SCHEMA).schema.fields))
-    return known.mapInArrow(_Extract(schema), SCHEMA)
+    known = known.where(F.col("language").isNotNull() & F.col("content").isNotNull())
+    known = known.select("path", "content", "language", *(F.col(c).alias(f"kept_{c}") for c in keep))
+    facts = StructType(spark.createDataFrame([], SCHEMA).schema.fields)
+    found = known.mapInArrow(_Extract(to_arrow_schema(facts)), StructType([*facts.fields, *known.schema.fields[3:]]))
+    return found.withColumnsRenamed({f"kept_{c}": c for c in keep})
 
 
 def fact_tables(extracted: DataFrame) -> dict[str, DataFrame]:

@@ -103,16 +103,20 @@ def structural_search(spark, sf_dir):
     return found.select("path", F.col("captured_vars")["N"].alias("captured"))
 
 
-@query(f"""WITH {V.FILES} SELECT path, sha256(CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE content END) AS content_hash FROM v_files WHERE doc_id % 10 <> 3 AND doc_id % 10 IN (0, 1, 3, 4, 6, 8, 9)""")
+@query(f"""WITH {V.FILES} SELECT path, sha256(CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE content END) AS content_hash, true AS same_facts FROM v_files WHERE doc_id % 10 <> 3 AND doc_id % 10 IN (0, 1, 3, 4, 6, 8, 9)""")
 def incremental_equals_full(spark, sf_dir):
-    """Half of the files first, then the rest, changes and deletions as batches; the store ends in the final state."""
+    """Half of the files first, then the rest, changes and deletions as batches; the store ends in the final state, with the facts of a full run."""
     f = V.files(spark, sf_dir)
     store = FactStore(spark)
     store.replace_all(f.where("doc_id % 2 = 0").select("path", "content"))
     store.apply(f.where("doc_id % 2 = 1").select("path", "content"))
     changed = f.where("doc_id % 10 = 0").select("path", F.lit("changed").alias("content"))
     store.apply(changed, f.where("doc_id % 10 = 3").select("path"))
-    return store.rows().select("path", "content_hash")
+    final = f.where("doc_id % 10 <> 3").select("path", F.when(F.col("doc_id") % 10 == 0, "changed").otherwise(F.col("content")).alias("content"))
+    facts = lambda df: F.to_json(F.struct(*sorted(c for c in df.columns if c in X.FACT_NAMES)))
+    full = X.extract(describe(final))
+    full, kept = full.select("path", facts(full).alias("full")), store.rows()
+    return kept.select("path", "content_hash", facts(kept).alias("kept")).join(full, "path", "full").select("path", "content_hash", F.col("kept").eqNullSafe(F.col("full")).alias("same_facts"))
 
 
 @query("""SELECT 'u' || user_id AS author, count(*)::BIGINT AS files, count(DISTINCT event_id)::BIGINT AS commits FROM events, range(2) WHERE event_id % 9 <> 0 GROUP BY 1""")

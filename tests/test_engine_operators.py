@@ -283,6 +283,35 @@ def test_stream_of_changes(spark, tmp_path):
     assert [(r.path, r.content) for r in store.rows().collect()] == [("a.py", "def a():\n    pass\n")] and store.version == 3
 
 
+def test_store_rewrites_only_touched_buckets(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "s"), buckets=8)
+    files = [(f"d/f{i}.py", f"def f{i}():\n    g{i}()\n") for i in range(40)]
+    store.replace_all(spark.createDataFrame(files, "path string, content string"))
+    before = store._now()["buckets"]
+    up = spark.createDataFrame([("d/f3.py", "x = 1\n"), ("d/f3.py", "def new():\n    pass\n")], "path string, content string")
+    store.apply(up, batch=("a stream", 0))
+    after = store._now()["buckets"]
+    assert sum(before[k] != after[k] for k in before) == 1 and store.version == 2
+    assert store.apply(up, batch=("a stream", 0)) == 2  # a batch that is run twice
+    rows = store.rows().collect()
+    assert len(rows) == 40 and next(r.content for r in rows if r.path == "d/f3.py") == "x = 1\n"
+    assert next(r.content for r in store.rows(1).collect() if r.path == "d/f3.py") == files[3][1]
+    for i in range(3):
+        store.apply(None, spark.createDataFrame([(f"d/f{i}.py",)], "path string"))
+    assert store.version == 5 and store.rows().count() == 37 and store.rows(1).count() == 38 and store.rows(2) is None
+    named = {f for n in store._manifests() for f in store._read(n)["buckets"].values()}
+    assert len([p for p in (tmp_path / "s" / "data").rglob("bucket=*")]) == len(named)
+
+
+def test_stream_takes_the_last_row_of_a_path(spark, tmp_path):
+    rows = [("a.py", "x = 1\n", 1, False), ("a.py", None, 2, True), ("b.py", None, 1, True), ("b.py", "y = 2\n", 2, False)]
+    schema = "path string, content string, seq long, deleted boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    store = FactStore(spark, str(tmp_path / "store"))
+    store.follow(spark.readStream.schema(schema).json(str(tmp_path / "in")), str(tmp_path / "ck")).awaitTermination()
+    assert [(r.path, r.content) for r in store.rows().collect()] == [("b.py", "y = 2\n")]
+
+
 def test_edits(spark):
     from quarrylens.sources.edits import edits, input_edit
 
