@@ -82,12 +82,12 @@ class Facts:
         c = self.code
         if c.family in ("swift", "c") or c.language in ("kotlin", "scala"):
             return
-        for i, d in enumerate(x for x in c.definitions if x.kind != "impl"):
-            text = c.text[d.start : d.end]
+        for i, d in enumerate(x for x in c.definitions if x.kind != "impl" and x.node_kind != "singleton_method"):
+            text = c.text[d.first : d.end]
             self.rows["symbols"].append(
                 {
                     "name": d.name, "kind": d.kind, "doc": self.doc(d), "signature": self.signature(text), "visibility": self.visibility(d), "parent": d.parent, "is_test": self.is_test(d, text),
-                    "ordinal": i, **c.anchor(d.start, d.end, d.node_kind),
+                    "ordinal": i, **c.anchor(d.first, d.end, d.node_kind),
                 }
             )
 
@@ -115,7 +115,7 @@ class Facts:
 
     def visibility(self, d: Definition) -> str | None:
         c, before = self.code, self._before(d)
-        head = before + c.text[d.start : d.start + 200]
+        head = c.masked[d.first : d.start] + c.text[d.start : d.start + 200]
         if c.family == "js":
             return "public" if re.search(r"\bexport\b", before) or self._exported_parent(d) else None
         if c.family == "python":
@@ -124,7 +124,10 @@ class Facts:
             return "public" if d.name[:1].isupper() else "private"
         if c.family == "rust":
             return "public" if re.search(r"\bpub\b", before) else "private"
-        if c.family in ("jvm", "dotnet", "php"):
+        if c.family == "jvm":  # an annotation before the modifiers hides them
+            m = re.match(r"(public|private|protected|internal)\b", c.text[d.first :])
+            return m[1] if m else None
+        if c.family in ("dotnet", "php"):
             m = re.search(r"\b(public|private|protected|internal)\b", head[: head.find(d.name) if d.name in head else 0])
             return m[1] if m else None
         return None
@@ -141,9 +144,9 @@ class Facts:
         if f == "ruby":
             return d.name.startswith("test_")
         if f == "jvm":
-            return bool(re.search(r"@Test\b", above + text[: text.find(d.name)]))
+            return bool(re.search(r"@Test\b", above + self.code.text[d.first : d.start]))
         if f == "dotnet":
-            return bool(re.search(r"\[(?:Test|Fact|Theory)\b", above + text[: text.find(d.name)]))
+            return bool(re.search(r"\[(?:Test|Fact|Theory)\b", above + self.code.text[d.first : d.start]))
         if f == "go":
             return bool(re.match("Test|Benchmark|Fuzz", d.name)) and bool(re.search(r"testing\.[TBMF]\b", text.split("{")[0]))
         if f == "rust":
@@ -271,7 +274,7 @@ class Facts:
             fields = [] if c.family == "go" and d.kind == "interface" else self._fields(d)
             first = next((t for k, t in up if k == "extends"), None)
             self.rows["data_models"].append(
-                {"name": d.name, "model_kind": d.kind, "fields": fields, "parent_type": first, "implemented_interfaces": [t for k, t in up if k == "implements"], **c.anchor(d.start, d.end, d.node_kind)}
+                {"name": d.name, "model_kind": d.kind, "fields": fields, "parent_type": first, "implemented_interfaces": [t for k, t in up if k == "implements"], **c.anchor(d.first, d.end, d.node_kind)}
             )
 
     _FIELD = {

@@ -2,7 +2,8 @@
 
 A sample is a text in which KEY stands for the supplier's key and MARK for a word that depends on whether the key is
 even, and the facts that must be found in it, by hand, as (fact, detail, first line, last line), in which AUTH stands for
-the protection that the word means.  SQL joins these facts with supplier, so every column of every row is compared."""
+the protection that the word means.  A declaration begins with its modifiers and, in Java, Kotlin and C#, its annotations;
+its signature ends at the first brace, even one in an annotation.  SQL joins these facts with supplier, so every column of every row is compared."""
 
 from __future__ import annotations
 
@@ -144,22 +145,25 @@ public class Ctl§ extends Base implements Runnable {
         String k = System.getenv("KEY_§");
         helper(k);
     }
+
+    private static int size() { return 0; }
 }
 ''', ("PreAuthorize", "Cached"), ("annotation:PreAuthorize", "-"), (
     ("interfaces", "GET /j§/{id} ¶ get§ id", 9, 14),
     ("interfaces", "POST /m§ annotation:RequireAuth post§ ", 17, 21),
     ("dependencies", 'restTemplate.getForObject("http://x/§", String.class)', 13, 13),
     ("sinks", 'pii logger.info("user " + email)', 12, 12),
-    ("symbols", "class | Ctl§ | - | public | Handles items. | class Ctl§ extends Base implements Runnable", 6, 22),
-    ("symbols", "method | get§ | Ctl§ | public | - | public String get§(String id)", 11, 14),
-    ("symbols", "method | post§ | Ctl§ | public | - | public void post§()", 18, 21),
+    ("symbols", "class | Ctl§ | - | - | Handles items. | @RestController\npublic class Ctl§ extends Base implements Runnable", 5, 24),
+    ("symbols", 'method | get§ | Ctl§ | - | - | @GetMapping("/j§/', 9, 14),
+    ("symbols", 'method | post§ | Ctl§ | - | - | @RequireAuth\n    @RequestMapping(value = "/m§", method = RequestMethod.POST)\n    public void post§()', 16, 21),
+    ("symbols", "method | size | Ctl§ | private | - | private static int size()", 23, 23),
     ("references", "get§>logger.info call", 12, 0),
     ("references", "get§>restTemplate.getForObject call", 13, 0),
     ("references", "post§>System.getenv call", 19, 0),
     ("references", "post§>helper call", 20, 0),
     ("references", "Ctl§>Base extends", 6, 0),
     ("references", "Ctl§>Runnable implements", 6, 0),
-    ("data_models", "class Ctl§ Base Runnable name:String:private", 6, 22),
+    ("data_models", "class Ctl§ Base Runnable name:String:private", 5, 24),
     ("env_dependencies", "KEY_§", 19, 19),
 ))
 
@@ -182,7 +186,7 @@ class Ctl§(val repo: Repo) : Base() {
     ("references", "get§>helper call", 6, 0),
     ("references", "drop§>repo.clear call", 11, 0),
     ("references", "Ctl§>Base extends", 2, 0),
-    ("data_models", "class Ctl§ Base - repo:Repo:-", 2, 13),
+    ("data_models", "class Ctl§ Base - repo:Repo:-", 1, 13),
 ))
 
 SAMPLES["csharp"] = Sample(".cs", '''[Route("api/[controller]")]
@@ -205,15 +209,15 @@ public class Item§Controller : ControllerBase, IDisposable
     ("interfaces", "GET /api/item§/{id} attribute:Authorize Get§ id", 7, 11),
     ("interfaces", "POST /api/item§ ¶ Post§ ", 13, 15),
     ("dependencies", 'client.GetAsync("http://x/§")', 10, 10),
-    ("symbols", "class | Item§Controller | - | public | - | class Item§Controller : ControllerBase, IDisposable", 3, 16),
-    ("symbols", "method | Get§ | Item§Controller | public | - | public string Get§(string id)", 8, 11),
-    ("symbols", "method | Post§ | Item§Controller | public | - | public void Post§()", 15, 15),
+    ("symbols", 'class | Item§Controller | - | public | - | [Route("api/[controller]")]\n[Authorize]\npublic class Item§Controller : ControllerBase, IDisposable', 1, 16),
+    ("symbols", 'method | Get§ | Item§Controller | public | - | [HttpGet("', 7, 11),
+    ("symbols", "method | Post§ | Item§Controller | public | - | [HttpPost]\n    [¤]\n    public void Post§()", 13, 15),
     ("references", "Get§>Environment.GetEnvironmentVariable call", 9, 0),
     ("references", "Get§>client.GetAsync call", 10, 0),
     ("references", "Post§>Helper call", 15, 0),
     ("references", "Item§Controller>ControllerBase extends", 3, 0),
     ("references", "Item§Controller>IDisposable implements", 3, 0),
-    ("data_models", "class Item§Controller ControllerBase IDisposable Name:string:public", 3, 16),
+    ("data_models", "class Item§Controller ControllerBase IDisposable Name:string:public", 1, 16),
     ("env_dependencies", "KEY_§", 9, 9),
 ))
 
@@ -297,7 +301,7 @@ Route::resource('p§boxes', BoxController::class);
     ("dependencies", "Http::get('http://x/§')", 6, 6),
     ("sinks", "pii Log::info('user ' . $email)", 5, 5),
     ("symbols", "class | Item§ | - | - | - | class Item§ extends Model", 2, 8),
-    ("symbols", "method | show | Item§ | public | - | function show($id)", 3, 7),
+    ("symbols", "method | show | Item§ | public | - | public function show($id)", 3, 7),
     ("references", "show>getenv call", 4, 0),
     ("references", "show>Log::info call", 5, 0),
     ("references", "show>Http::get call", 6, 0),
@@ -343,7 +347,7 @@ impl Runner for Item§ {
     }
 }
 ''', ("helper", "other"), ("helper", "other"), (
-    ("symbols", "struct | Item§ | - | public | An item. | struct Item§", 2, 5),
+    ("symbols", "struct | Item§ | - | public | An item. | pub struct Item§", 2, 5),
     ("symbols", "function | run | Item§ | private | - | fn run(&self, id: u32) -> u32", 8, 11),
     ("references", "run>std::env::var call", 9, 0),
     ("references", "run>¤ call", 10, 0),

@@ -61,6 +61,11 @@ class Definition:
     parent: str | None = None
     extra: dict = field(default_factory=dict)
 
+    @property
+    def first(self) -> int:
+        """Where the declaration begins with its modifiers and, where these belong to it, annotations."""
+        return self.extra.get("first", self.start)
+
 
 class Code:
     def __init__(self, text: str, language: str):
@@ -197,13 +202,14 @@ class Code:
 
     @cached_property
     def definitions(self) -> list[Definition]:
-        from quarrylens.sources.definitions import find_definitions
+        from quarrylens.sources.definitions import declaration_start, find_definitions
 
         found = find_definitions(self)
         members = {(d.start, d.name) for d in found if d.kind == "method"}
         found = [d for d in found if d.kind != "function" or (d.start, d.name) not in members]
         types = [d for d in found if d.kind in ("class", "interface", "enum", "struct", "trait", "module", "impl")]
         for d in found:
+            d.extra["first"] = declaration_start(self, d)
             if d.parent is None:
                 around = [t for t in types if t is not d and t.start < d.start and d.end <= t.end]
                 d.parent = max(around, key=lambda t: t.start).name if around else None

@@ -56,7 +56,8 @@ _TABLE = {
     "ruby": (
         ("class", "class", r"^[ \t]*class\s+(?P<n>[A-Z]\w*(?:::\w+)*)"),
         ("module", "module", r"^[ \t]*module\s+(?P<n>[A-Z]\w*(?:::\w+)*)"),
-        ("method", "method", r"^[ \t]*def\s+(?:self\.)?(?P<n>\w+[?!=]?)"),
+        ("method", "method", r"^[ \t]*def\s+(?P<n>\w+(?!\.)\b[?!=]?)"),
+        ("method", "singleton_method", r"^[ \t]*def\s+self\.(?P<n>\w+[?!=]?)"),
     ),
     "swift": (("function", "function_declaration", r"\bfunc\s+(?P<n>\w+)\s*(?:<[^>(]*>)?(?=\()"),),
     "c": (("function", "function_definition", r"^[A-Za-z_][\w\s*&:<>,]*?\b(?P<n>~?\w+)\s*(?=\([^;{}]*\)[^;{}()]*\{)"),),
@@ -143,6 +144,52 @@ def _members(code: Code, owner: D, pattern: re.Pattern, node: str, need_body: bo
     return out
 
 
+#: fixed values: words that belong to a declaration when they stand before it
+_MODIFIERS = {
+    "js": frozenset(("async",)),
+    "jvm": frozenset("public private protected static final abstract synchronized native strictfp transient volatile default sealed open data inner internal override suspend inline companion enum annotation lateinit const operator infix external tailrec value".split()),
+    "dotnet": frozenset("public private protected internal static sealed abstract partial async virtual override readonly unsafe extern new ref file required".split()),
+    "php": frozenset("public private protected static final abstract readonly".split()),
+    "rust": frozenset("pub async const unsafe extern default".split()),
+}
+
+
+def declaration_start(code: Code, d: D) -> int:
+    """Start of a definition's modifiers, and of its annotations or attributes where the language puts them inside."""
+    words, masked, at = _MODIFIERS.get(code.family, frozenset()), code.masked, d.start
+    if not words or (code.family == "js" and d.kind != "function"):
+        return at
+    while True:
+        end = at
+        while end > 0 and masked[end - 1].isspace():
+            end -= 1
+        if end == 0:
+            return at
+        begin = end
+        if masked[end - 1] in ")]" and end - 1 in code.pairs:
+            begin = code.pairs[end - 1]
+            if masked[end - 1] == "]":
+                if code.family == "dotnet" and (not masked[:begin].strip() or masked[:begin].rstrip()[-1] in ";{}])"):
+                    at = begin
+                    continue
+                if code.family == "php" and masked[begin - 1 : begin] == "#":
+                    at = begin - 1
+                    continue
+                return at
+        word = re.search(r"[\w.]+$", masked[max(0, begin - 200) : begin])
+        if word is None:
+            return at
+        start = begin - len(word[0])
+        if code.family == "jvm" and start > 0 and masked[start - 1] == "@":
+            at = start - 1
+        elif code.family == "rust" and begin < end and word[0] == "pub":
+            at = start  # pub(crate)
+        elif begin == end and word[0] in words:
+            at = start
+        else:
+            return at
+
+
 def _indent(line: str) -> int:
     return len(line.expandtabs(8)) - len(line.expandtabs(8).lstrip())
 
