@@ -44,6 +44,8 @@ class Engine:
         """Everything from scratch: earlier state is forgotten, and there is no diff."""
         start = time.perf_counter()
         files = self._files if self._files is not None else scan(self.spark, self.root).select("path", "content")
+        if self._files is not None:
+            self.workspace = detect_workspace(self._files)
         self.store.replace_all(files)
         self.last = None
         commits = gitlog.commits(self.spark, self.root) if with_history and self.root and os.path.isdir(self.root) else None

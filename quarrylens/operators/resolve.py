@@ -34,12 +34,14 @@ def probe_imports(imports: DataFrame, files: DataFrame, root: str = "") -> DataF
     return found.groupBy("import_id").agg(F.min_by("path", "pos").alias("target_file"))
 
 
-def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
-    """imports(import_id, file, source, specifiers, line) -> one reference for each effective specifier."""
+def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame, root: str = "", probed: DataFrame | None = None) -> DataFrame:
+    """imports(import_id, file, source, specifiers, line) -> one reference for each effective specifier; probed is
+    what probe_imports gives, if it is known already."""
     relative = S.is_relative_import(F.coalesce(S.normalize_python_relative(F.col("source")), F.col("source")))
     spec = imports.select("import_id", "file", "source", "line", relative.alias("relative"), F.explode(S.effective_specifiers(F.col("specifiers"), F.col("source"))).alias("specifier"))
     first = symbols.groupBy(F.col("file").alias("target_file"), F.col("name").alias("specifier")).agg(F.min("line").alias("target_line"))
-    out = spec.join(probe_imports(imports, files, root), "import_id", "left").join(first, ["target_file", "specifier"], "left")
+    probed = probe_imports(imports, files, root) if probed is None else probed
+    out = spec.join(probed, "import_id", "left").join(first, ["target_file", "specifier"], "left")
     found, inside = F.col("target_file").isNotNull(), F.col("relative")
     confidence = F.when(~inside, rules.CONFIDENCE["external"]).when(F.col("target_line").isNotNull(), rules.CONFIDENCE["import_based"]).when(found, rules.IMPORT_FILE_ONLY).otherwise(0.0)
     method = F.when(~inside, "external").when(found, "import_based").otherwise("unresolved")
@@ -56,9 +58,9 @@ def resolve_imports(imports: DataFrame, symbols: DataFrame, files: DataFrame, ro
     )
 
 
-def import_index(imports: DataFrame, files: DataFrame, root: str = "") -> DataFrame:
+def import_index(imports: DataFrame, files: DataFrame, root: str = "", probed: DataFrame | None = None) -> DataFrame:
     """(source_file, name) -> target_file for names that a file imports from a file that exists; last import wins."""
-    found = imports.join(probe_imports(imports, files, root), "import_id")
+    found = imports.join(probe_imports(imports, files, root) if probed is None else probed, "import_id")
     names = found.select(F.col("file").alias("source_file"), "line", "import_id", "target_file", F.explode(S.effective_specifiers(F.col("specifiers"), F.col("source"))).alias("name"))
     return names.groupBy("source_file", "name").agg(F.max_by("target_file", F.struct("line", "import_id")).alias("import_file"))
 
@@ -106,13 +108,13 @@ def resolve_names(refs: DataFrame, symbols: DataFrame, imported: DataFrame | Non
     return out.select(*refs.columns, *(F.col(f"_best.{k}").alias(f"resolved_{k}") for k in ("file", "line", "confidence", "method")))
 
 
-def resolve_references(refs: DataFrame, imports: DataFrame, symbols: DataFrame, files: DataFrame, root: str = "", strict_compat: bool = False) -> DataFrame:
+def resolve_references(refs: DataFrame, imports: DataFrame, symbols: DataFrame, files: DataFrame, root: str = "", strict_compat: bool = False, probed: DataFrame | None = None) -> DataFrame:
     """All references: those of imports, and refs with what resolution found.
 
     A reference keeps its own confidence and method if that is strictly higher, and its own target if nothing was
     found.  strict_compat leaves imports out of name resolution when paths are absolute below a root, as probing
     by root-relative names then finds nothing."""
-    imported = None if strict_compat and root else import_index(imports, files, root)
+    imported = None if strict_compat and root else import_index(imports, files, root, probed)
     r = resolve_names(refs, symbols, imported)
     better = F.col("confidence") > F.col("resolved_confidence")
     hit = F.col("resolved_method") != "unresolved"
@@ -127,7 +129,7 @@ def resolve_references(refs: DataFrame, imports: DataFrame, symbols: DataFrame,
         F.greatest("confidence", "resolved_confidence").alias("confidence"),
         F.when(better, F.col("resolution_method")).otherwise(F.col("resolved_method")).alias("resolution_method"),
     )
-    return resolve_imports(imports, symbols, files, root).unionByName(named)
+    return resolve_imports(imports, symbols, files, root, probed).unionByName(named)
 
 
 def tag_tests(refs: DataFrame, files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarrylens.operators import aggregate as A, resolve as R
 from quarrylens.operators.extract import fact_tables
 from quarrylens.operators.graph import KnowledgeGraph
+from quarrylens.session import Scratch
 
 FACTS = ("interfaces", "dependencies", "sinks", "symbols", "imports", "references", "data_models", "env_dependencies")
 
@@ -55,11 +56,15 @@ class CodeModel:
 
 
 def build_model(files: DataFrame, extracted: DataFrame, project: str = "project", packages: DataFrame | None = None, history: DataFrame | None = None, root: str = "", strict_compat: bool = False) -> CodeModel:
-    """files (as described) and their extracted facts -> model; packages deal files to components."""
+    """files (as described) and their extracted facts -> model; packages deal files to components.
+
+    Probed imports and resolved references, which figures, modules and the graph all read, are written once."""
+    scratch = Scratch(files.sparkSession, "model")
     facts = fact_tables(extracted)
     files = R.assign_component(files, packages, project) if packages is not None else files.withColumn("component", F.lit(project))
     if history is not None:
         files = R.merge_history(files, history)
-    refs = R.resolve_references(facts["references"], facts["imports"], facts["symbols"], files, root, strict_compat)
-    facts["references"] = R.tag_tests(refs, files)
+    probed = scratch.table(R.probe_imports(facts["imports"], files, root), "probed")
+    refs = R.resolve_references(facts["references"], facts["imports"], facts["symbols"], files, root, strict_compat, probed)
+    facts["references"] = scratch.table(R.tag_tests(refs, files), "references")
     return CodeModel(project, files, facts, A.module_boundaries(files, facts["symbols"], facts["imports"].select("file", "source")))

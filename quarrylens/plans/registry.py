@@ -502,7 +502,7 @@ def graph_json(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from quarrylens.plans import language_queries, source_queries  # noqa: F401 - register the queries over source text
+    from quarrylens.plans import language_queries, model_queries, source_queries  # noqa: F401 - register the queries over source text
 
     return dict(_QUERIES)
 

@@ -209,7 +209,7 @@ def test_flows_with_cycles(spark):
 
 
 @pytest.mark.parametrize("kind", ["pnpm", "npm", "cargo", "go", "uv"])
-def test_workspaces(tmp_path, kind):
+def test_workspaces(spark, tmp_path, kind):
     for name in ("one", "two"):
         d = tmp_path / "packages" / name
         d.mkdir(parents=True)
@@ -228,6 +228,18 @@ def test_workspaces(tmp_path, kind):
     found = workspace.detect_workspace(str(tmp_path))
     assert (found.kind, found.packages) == (kind, (("@x/one", "packages/one"), ("@x/two", "packages/two")))
     assert workspace.detect_workspace(str(tmp_path / "packages")) is None
+    rows = [(p.relative_to(tmp_path).as_posix(), p.read_text()) for p in tmp_path.rglob("*") if p.is_file()]
+    assert workspace.detect_workspace(spark.createDataFrame(rows, "path string, content string")) == found
+
+
+def test_folder_patterns_match_as_in_a_folder(spark, tmp_path):
+    for d in ("a/b/c", "a/.h/x", "ab/c", "a/b2", "z", ".q"):
+        (tmp_path / d).mkdir(parents=True)
+        (tmp_path / d / "f.txt").write_text("x")
+    rows = [(p.relative_to(tmp_path).as_posix(), "x") for p in tmp_path.rglob("*") if p.is_file()]
+    table = workspace.Files(spark.createDataFrame(rows, "path string, content string"))
+    for pattern in ("*", "a/*", "a/b?", "a/**", "**/c", "./a/b", "a*/c", "none/*", ".q", "a/.h/*"):
+        assert table.folders(pattern) == workspace.Folder(str(tmp_path)).folders(pattern), pattern
 
 
 def tree(tmp_path):
