@@ -1,11 +1,13 @@
 """Graph queries as loops of joins: callers, callees, impact, hierarchy, cycles.
 
-Each level is one join of the frontier with the edges and one anti-join against what was visited; both are
-written to the shared folder, so lineage stays short and lost executors cost one level.
+Each level is one join of the frontier with the edges and one anti-join against what was visited; it is written to the
+shared folder, so lineage stays short and lost executors cost one level.  Levels are merged into one table when there
+are MERGE of them, so plans do not grow with the depth of a search.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from quarrylens.functions import rules
 from quarrylens.operators.components import components
 from quarrylens.session import Scratch, ship_package
 
+MERGE = 8
 IMPACT_KINDS = ("calls", "extends", "implements", "uses_type")
 HIERARCHY_KINDS = ("extends", "implements")
 
@@ -43,9 +46,10 @@ def breadth_first(edges: DataFrame, seeds: DataFrame, kinds: tuple[str, ...] | N
         if not frontier.head(1):
             break
         parts.append(frontier)
-        seen = parts[0]
-        for p in parts[1:]:
-            seen = seen.unionByName(p)
+        seen = reduce(DataFrame.unionByName, parts)
+        if len(parts) > MERGE:
+            seen = scratch.table(seen, "seen")
+            parts = [seen]
     out = seen.where("depth > 0")
     return out if floor is not None else out.drop("confidence")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
@@ -66,11 +67,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+_MADE: list[Scratch] = []
+
+
+def scratch_mark() -> int:
+    """A mark for release_since()."""
+    return len(_MADE)
+
+
+def release_since(mark: int) -> None:
+    """Delete all scratch folders that this thread made since the mark; only where none of them is read any more."""
+    for s in [x for x in _MADE[mark:] if x.thread == threading.get_ident()]:
+        s.clear()
+        _MADE.remove(s)
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, which cuts lineage and survives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.thread = spark, threading.get_ident()
+        _MADE.append(self)
         self.root = f"{shared_dir(spark)}/quarrylens/{name}-{uuid.uuid4().hex}"
         self._n = 0
         jvm = spark.sparkContext._jvm
@@ -90,6 +107,10 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def clear(self) -> None:
+        """Delete the whole folder."""
+        self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root), True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by table(), once nothing reads them any more."""
         for t in tables:
