@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrylens.llm import decontaminate, jaccard, mixing, quality, tokenstore
 from quarrylens.llm.queries import table, tokenizer_path
 from quarrylens.llm.rows import ROW, pack, unpack
-from quarrylens.session import Scratch
+from quarrylens.session import Scratch, release_since, scratch_mark
 
 #: near copies in the pipeline: five-word shingles, Jaccard of 0.8 or more
 WORDS, PERCENT = 5, 80
@@ -64,9 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark, "pipeline")
+    """All stages over documents; each result is written to the shared folder and read again, and what a stage kept
+    there for itself goes when its result is written."""
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
+        mark = scratch_mark()
         docs = scratch.table(stage(spark, docs, sf_dir), name)
+        release_since(mark)
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

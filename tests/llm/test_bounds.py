@@ -188,6 +188,27 @@ def test_training_rows_are_bounded(spark, monkeypatch):
     assert quality.score_documents(frame(spark, rows), model).count() == len(rows)
 
 
+def test_scores_equal_plain_marginals(spark, sf_small):
+    """Every score of short documents from the model's weights, by enumerating all states of their lines."""
+    docs, labels = (spark.read.parquet(f"{sf_small}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got, seen = {r.doc_id: r.score for r in quality.quality(docs, labels).collect()}, 0
+    for r in docs.select("doc_id", "text").collect():
+        rows, weight = quality.line_features(r.text or "")
+        if not len(weight) or len(weight) > 9:
+            continue
+        x = np.clip((rows - model.mean) / model.spread, -6, 6) @ model.weights[:-1] + model.weights[-1]
+        total, good = 0.0, np.zeros(len(x))
+        for code in range(1 << len(x)):
+            y = np.array([(code >> i) & 1 for i in range(len(x))])
+            w = np.exp(x @ y + sum(model.move[a, b] for a, b in zip(y, y[1:])))
+            total, good = total + w, good + w * y
+        d = ((good / total) * weight).sum() / weight.sum()
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(model.curve[0] * (d - 0.5) + model.curve[1])))) < 1e-6
+        seen += 1
+    assert seen > 50
+
+
 # --- 10 fingerprints: one very long text; recall over documents
 
 
