@@ -51,7 +51,7 @@ _LETTER, _DIGIT, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", " \\t
 #: the byte-level split; contractions come after words and numbers, which cannot start with their quote
 _PIECE = re.compile(f" ?[{_LETTER}]+| ?[{_DIGIT}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_WHITE}{_LETTER}{_DIGIT}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fɐ-\U0010ffff]")
-_SPACED, _BARE = re.compile(f" [{_LETTER}]+"), re.compile(f"[{_LETTER}]+")
+_LETTERS = frozenset(re.findall(f"[{_LETTER}]", "".join(map(chr, range(0x250)))))
 _BLOCK = 1 << 20  # characters that are encoded together
 
 
@@ -92,7 +92,9 @@ class Encoder:
         self.used = np.zeros(0, np.int64)
 
     def _age(self) -> None:
-        """Make room: pieces that came only once since they were learned go, and counts of the rest are halved."""
+        """Make room if need be: pieces that came only once since they were learned go, and counts of the rest are halved."""
+        if len(self.known) <= _CACHE_LIMIT:
+            return
         keep = np.flatnonzero(self.used > 1)
         if len(keep) > _CACHE_LIMIT // 2:
             keep = np.sort(np.argsort(-self.used, kind="stable")[: _CACHE_LIMIT // 2])
@@ -120,19 +122,19 @@ class Encoder:
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
         plain = [self.by_piece and not _ODD.search(t) and not (self.added and self.added.search(t)) for t in texts]
-        pieces: list[str] = []
-        ends, parts, counts = [], {}, np.zeros(len(texts), np.int64)
+        rows, parts, counts, pieces = [], {}, np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for i, (t, ok) in enumerate(zip(texts, plain, strict=True)):
             if ok and len(t) <= _BLOCK:
-                pieces += _PIECE.findall(t)
+                rows.append(self._numbers(_PIECE.findall(t)))  # at once, while the pieces are in the processor's cache
+                pieces[i] = len(rows[-1])
             elif ok:
                 parts[i] = self._long(t)
             else:
                 parts[i] = np.array(self.lib.encode(t, add_special_tokens=False).ids, np.int32)
-            ends.append(len(pieces))
-        flat, sizes = self._gather(pieces)
+        flat, sizes = self._gather(np.concatenate([*rows, np.zeros(0, np.int64)]))
+        self._age()
+        ends = np.concatenate(([0], np.cumsum(pieces)))
         at = np.concatenate(([0], np.cumsum(sizes)))
-        ends = np.array([0, *ends])
         counts[:] = at[ends[1:]] - at[ends[:-1]]
         if not parts:
             return flat, counts
@@ -145,20 +147,20 @@ class Encoder:
 
     def _long(self, text: str) -> np.ndarray:
         """A very long text by bounded lists of pieces."""
-        out, part, size = [], [], 0
+        out, part = [], []
         for m in _PIECE.finditer(text):
             part.append(m.group())
-            size += 1
-            if size == 1 << 18:
-                out.append(self._gather(part)[0])
-                part, size = [], 0
-        return np.concatenate([*out, self._gather(part)[0]])
-
-    def _gather(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and how many each has."""
-        if len(self.known) > _CACHE_LIMIT:
-            self._age()
-        row = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+            if len(part) == 1 << 18:
+                out.append(self._gather(self._numbers(part))[0])
+                part = []
+        return np.concatenate([*out, self._gather(self._numbers(part))[0]])
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """Rows of pieces; those of new ones are learned before they are read."""
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def _gather(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in these rows and how many each has."""
         if self.known.new:
             self._learn(self.known.new)
             self.known.new = []
@@ -169,8 +171,8 @@ class Encoder:
         """Ids of new pieces, in order, from the library.  Words after a space, and words alone with a line
         end between them, can be sent as one text: each stays a piece of its own there, and the library tells which piece an id belongs to."""
         spaced, bare, rest = [], [], []
-        for i, p in enumerate(new):
-            (spaced if _SPACED.fullmatch(p) else bare if _BARE.fullmatch(p) else rest).append(i)
+        for i, p in enumerate(new):  # a piece with a letter at its end is a word, or a contraction
+            (spaced if p[0] == " " and p[-1] in _LETTERS else bare if p[0] in _LETTERS else rest).append(i)
         ids, sizes, order = [], [], []
         groups = [(g[i : i + 500], between) for g, between in ((spaced, ""), (bare, "\n")) for i in range(0, len(g), 500)]
         texts = [between.join(["", *(new[i] for i in g)]) for g, between in groups]
