@@ -1,7 +1,8 @@
 """Structural search: code patterns with metavariables, matched on tokens.
 
 `$X` stands for one expression (balanced, without a comma or semicolon of its own), `$$$X` for any number of
-them; everything else must match token by token, whatever the white space.  Patterns are compiled once for each
+them; everything else must match token by token, whatever the white space.  A match is an expression of its own: a name
+after a dot, or one that is being declared, does not begin one.  Matches inside matches are found too.  Patterns are compiled once for each
 worker and grouped by language, so a file only meets its own language's patterns."""
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from quarrylens.sources.code import Code
 _TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|=>|->|::|\?\.|[=!<>]=+|&&|\|\||\S")
 _META = re.compile(r"\$\$\$([A-Z_][A-Z0-9_]*)|\$([A-Z_][A-Z0-9_]*)")
 _OPEN, _CLOSE = "([{", ")]}"
+#: fixed values: tokens after which a name is a member or a declaration, and words that begin no expression
+_JOINING = frozenset(". -> :: ?. function def func fn fun new class interface struct enum trait".split())
+_STATEMENT = frozenset("function def func fn fun class interface struct enum trait return if else for while switch case const let var import export from throw public private protected static final".split())
 RESULT = "pattern_id string, path string, line long, end_line long, start_byte long, end_byte long, text string, captured_vars map<string,string>"
 
 
@@ -67,18 +71,23 @@ class Matcher:
                 self.close[stack.pop()] = i
 
     def find(self, pattern: list[tuple[str, str]]) -> Iterator[tuple[int, int, dict[str, str]]]:
-        """Start and end places and captures of all matches, by position, not overlapping."""
-        at = 0
+        """Start and end places and captures of all matches, by position.  One that begins with a metavariable is not
+        looked for again in what it took."""
+        at, fixed = 0, bool(pattern) and pattern[0][0] == "literal"
         while at < len(self.texts) and pattern:
-            if pattern[0][0] != "literal" or self.texts[at] == pattern[0][1]:
+            if (self.texts[at] == pattern[0][1] if fixed else self.texts[at] not in _STATEMENT) and not self._inside(at):
                 found = self._match(pattern, 0, at, {})
                 if found and found[0] > at:
                     end, names = found
                     yield self.tokens[at][1], self.tokens[end - 1][2], names
-                    at = end
+                    at = at + 1 if fixed else end
                     continue
             at += 1
 
+    def _inside(self, at: int) -> bool:
+        """Whether the name at a place belongs to a longer expression or a declaration."""
+        return at > 0 and self.texts[at - 1] in _JOINING and bool(re.match(r"[A-Za-z_$]", self.texts[at]))
+
     def _span(self, a: int, b: int) -> str:
         return self.code.text[self.tokens[a][1] : self.tokens[b - 1][2]] if b > a else ""
 

@@ -103,6 +103,20 @@ def structural_search(spark, sf_dir):
     return found.select("path", F.col("captured_vars")["N"].alias("captured"))
 
 
+@query("""WITH s AS (SELECT s_suppkey AS k, 'api/s' || s_suppkey || '.ts' AS path, CASE WHEN s_suppkey % 5 = 0 THEN 'email' ELSE 'name' END AS w FROM supplier)
+SELECT path, 'help' AS pattern_id, 5::BIGINT AS line, 'helper(id)' AS text, 'X=id' AS captured FROM s UNION ALL SELECT path, 'log', 8, 'logger.info(''user '' + ' || w || ')', 'ARGS=''user '' + ' || w FROM s
+UNION ALL SELECT path, 'route', 7, 'app.get(''/s' || k || '/:id'', ' || CASE WHEN k % 2 = 0 THEN 'requireAuth, ' ELSE '' END || 'getS' || k || ')', 'PATH=''/s' || k || '/:id''' || CASE WHEN k % 2 = 0 THEN '' ELSE ';REST=getS' || k END FROM s
+UNION ALL SELECT path, 'nested', 11, 'f(f(' || k || '))', 'X=f(' || k || ')' FROM s UNION ALL SELECT path, 'nested', 11, 'f(' || k || ')', 'X=' || k FROM s""")
+def structural_search_calls(spark, sf_dir):
+    """Patterns with one and with any number of arguments over service files; members and declarations are no calls of their names."""
+    f = service_files(spark, sf_dir).where(F.col("path").rlike(r"/s\d+\.ts$")).withColumn("k", F.regexp_extract("path", r"(\d+)", 1))
+    f = f.select("path", F.concat("content", F.lit("f(f("), "k", F.lit(")); o.f(1); function f(x) { return g.helper(x); }\n")).alias("content"))
+    patterns = {"help": "helper($X)", "log": "logger.info($$$ARGS)", "route": "app.get($PATH, $$$REST)", "nested": "f($X)"}
+    found = StructuralSearch([SearchPattern(i, "typescript", p) for i, p in patterns.items()]).search(f)
+    named = F.transform(F.array_sort(F.map_entries("captured_vars")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return found.select("path", "pattern_id", "line", "text", F.array_join(named, ";").alias("captured"))
+
+
 @query(f"""WITH {V.FILES} SELECT path, sha256(CASE WHEN doc_id % 10 = 0 THEN 'changed' ELSE content END) AS content_hash, true AS same_facts FROM v_files WHERE doc_id % 10 <> 3 AND doc_id % 10 IN (0, 1, 3, 4, 6, 8, 9)""")
 def incremental_equals_full(spark, sf_dir):
     """Half of the files first, then the rest, changes and deletions as batches; the store ends in the final state, with the facts of a full run."""
