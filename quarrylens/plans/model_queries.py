@@ -197,7 +197,7 @@ def exposed_symbols(spark, sf_dir):
 @query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS m, 'api/s' || s_suppkey || '.ts:' AS f, 'logger.info(''user '' + ' || CASE WHEN s_suppkey % 5 = 0 THEN 'email' ELSE 'name' END || ')' AS log FROM supplier)
 SELECT 'interfaces' AS fact, 'removed' AS change_type, 'GET /s' || k || '/:id' AS key FROM s WHERE m < 2 UNION ALL SELECT 'interfaces', 'added', 'GET /t' || k || '/:id' FROM s WHERE m = 0
 UNION ALL SELECT 'dependencies', 'removed', 'fetch(''http://x/' || k || ''')' FROM s WHERE m = 1 UNION ALL SELECT 'sinks', 'removed', f || '8 ' || log FROM s WHERE m IN (1, 2) UNION ALL SELECT 'sinks', 'added', f || '9 ' || log FROM s WHERE m = 2
-UNION ALL SELECT 'risk', 'high', 'medium'""")
+UNION ALL SELECT 'risk', CASE WHEN (SELECT bool_or((m = 0 AND k % 2 = 1) OR (m = 2 AND k % 5 = 0)) FROM s) THEN 'high' ELSE 'medium' END, 'medium'""")
 def model_semantic_diff(spark, sf_dir):
     """Every fourth file changes its route, the next is gone, the next gets an empty line at its top, the last stays."""
     old = service_files(spark, sf_dir).select("path", "content")
