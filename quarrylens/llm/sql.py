@@ -42,5 +42,36 @@ SELECT doc_id, size, source_size, target, (n * size)::BIGINT AS taken, source, n
 """
 
 
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+OP3 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle
+  FROM w WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+near AS (SELECT a AS x, b AS y FROM links UNION ALL SELECT b, a FROM links),
+c(x, least_id) USING KEY (x) AS (SELECT doc_id, doc_id FROM documents
+  UNION SELECT near.y, min(c.least_id) FROM c JOIN near ON c.x = near.x JOIN recurring.c AS o ON o.x = near.y WHERE c.least_id < o.least_id GROUP BY near.y)
+SELECT x AS doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least_id AS component_id FROM c LEFT JOIN n ON n.doc_id = x
+"""
+
+OP8 = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS words FROM documents),
+t AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS i, words FROM w WHERE len(words) >= 20),
+v AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS key FROM t),
+later AS (SELECT doc_id, i FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM later),
+runs AS (SELECT doc_id, count(*) AS n FROM gone g WHERE NOT EXISTS (SELECT 1 FROM gone h WHERE h.doc_id = g.doc_id AND h.i = g.i - 1) GROUP BY 1),
+p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+k AS (SELECT p.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p.i) AS kept FROM p LEFT JOIN gone USING (doc_id, i) WHERE gone.i IS NULL GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(runs.n, 0)::BIGINT AS n_repeats
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN runs USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": OP2, "op6_mixing": OP6}
+    return {"op2_url_filters": OP2, "op3_jaccard_join": OP3, "op6_mixing": OP6, "op8_substring_dedup": OP8}

@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
-from quarrylens.llm import fingerprint, jaccard, queries, tokenstore
+from quarrylens.llm import fingerprint, jaccard, queries, sql, tokenstore
 
 
 def test_jaccard_sets_that_agree_in_24_bits_stay_apart(monkeypatch):
@@ -70,3 +71,10 @@ def test_op10_groups_edited_copies(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.near_group for r in queries.op10_fingerprints(spark, str(tmp_path)).collect()}
     assert got == {i: i % 100 if i < 200 else 3 if i == 200 else i for i, _ in rows}
+
+
+@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
+def test_queries_equal_their_sql(spark, sf, duck, name):
+    got, want = queries.queries()[name](spark, sf).toPandas(), duck(sql.oracle_sql()[name], sf)
+    text = lambda df: sorted(tuple("-" if x is None or x != x else f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in df[sorted(want.columns)].itertuples(index=False))
+    assert sorted(got.columns) == sorted(want.columns) and text(got) == text(want)
