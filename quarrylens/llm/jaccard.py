@@ -2,7 +2,8 @@
 
 * Classes: documents with equal sets (128 bits of them) are one point, stood for by their smallest id; only that
   document goes on.
-* Routing: shingles have a common order (their hashes).  If A and B have Jaccard >= t, then in the order, up to
+* Routing: shingles have a common order (their hashes, but those that a sample finds in many texts come last, so that a
+  passage which many texts share is no meeting place of them all; no link depends on the order).  If A and B have Jaccard >= t, then in the order, up to
   the 2 (1 - t) n + 2 first shingles of whichever ends first, more shingles are shared than not, so somewhere two
   shared shingles follow each other directly in both.  Each point therefore is sent to the meeting places of its
   neighbouring shingle pairs in that stretch, and no link can be missed.  Two shingles at once hardly ever meet
@@ -11,7 +12,8 @@
 * Count vectors: shingles are hashed to GROUPS groups, and a point is its count in each.  Two sets cannot share
   more than the summed minima of their coordinates.  Points that meet are kept in a packed R-tree over these
   vectors; a search drops every node whose upper corner bounds the overlap below what the threshold needs.
-  The points of one meeting place that survive are joined into a forest, not pairs.
+  The points of one meeting place that survive are joined into a forest, not pairs: what a search reaches leaves the
+  tree, so that a group of near copies costs a few searches, not one comparison for each pair.
 * Verification: the components of those forests are candidate clusters.  A cluster is solved in one task, or, if
   its sets are many, in chunks that each also hold some HUB documents of the whole cluster, which joins what is
   truly one group.  What then is not in the cluster's largest group meets every chunk once more.  In a task the
@@ -42,6 +44,8 @@ GROUPS = 32
 DOCS_A_BUCKET = 1000  # a bucket gets about as many keys as this many documents have
 CHUNK = 1_500_000  # shingles of a cluster's chunk
 _LEAF = 16
+SAMPLE, SAMPLE_SHINGLES = 8000, 4_000_000  # texts and shingles that tell which shingles are frequent, about
+COMMON, COMMON_LEAST = 50_000, 4  # the most shingles that count as frequent, and in how many sampled texts they are
 HUB = 64  # documents of a large cluster that go to all its chunks, about
 _SIG = "doc_id long, n_shingles long, k1 long, k2 long, counts binary, keys binary"
 
@@ -64,12 +68,13 @@ class CountTree:
         tile = np.argsort(np.argsort(sizes, kind="stable")) // (_LEAF * _LEAF)
         self.order = np.lexsort((vectors[:, spread], tile))
         self.vectors, self.sizes = vectors[self.order], sizes[self.order]
-        self.levels = []
+        self.n, self.levels, self.left = len(sizes), [], [np.ones(len(sizes), np.int64)]
         top, lo, hi = self.vectors, self.sizes, self.sizes
         while len(top) > _LEAF:
             at = np.arange(0, len(top), _LEAF)
             top, lo, hi = np.maximum.reduceat(top, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at)
             self.levels.append((top, lo, hi))
+            self.left.append(np.add.reduceat(self.left[-1], at))
 
     def _fits(self, v: np.ndarray, n: int, top: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         least = np.maximum(lo, -(-self.percent * n // 100))
@@ -77,44 +82,30 @@ class CountTree:
         return room & (np.minimum(top, v).sum(1) >= needed(n, least, self.percent))
 
     def search(self, place: int) -> np.ndarray:
-        """Places (in tree order) whose summed minima with the point at place reach the needed overlap."""
+        """Places (in tree order) still in the tree whose summed minima with the point at place reach the needed overlap."""
         v, n = self.vectors[place], int(self.sizes[place])
         at: np.ndarray | None = None
-        for top, lo, hi in reversed(self.levels):
+        for (top, lo, hi), left in zip(reversed(self.levels), reversed(self.left[1:]), strict=True):
             at = np.arange(len(top)) if at is None else self._below(at, len(top))
+            at = at[left[at] > 0]
             at = at[self._fits(v, n, top[at], lo[at], hi[at])]
         at = np.arange(len(self.vectors)) if at is None else self._below(at, len(self.vectors))
+        at = at[self.left[0][at] > 0]
         return at[self._fits(v, n, self.vectors[at], self.sizes[at], self.sizes[at])]
 
+    def remove(self, places: np.ndarray) -> None:
+        """Take points that are in the tree out of it; searches pass over nodes that are empty."""
+        self.n -= len(places)
+        for left in self.left:
+            np.subtract.at(left, places, 1)
+            places = places // _LEAF
+
     @staticmethod
     def _below(at: np.ndarray, n: int) -> np.ndarray:
         out = (at[:, None] * _LEAF + np.arange(_LEAF)).ravel()
         return out[out < n]
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def find(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = int(p[i])
-        return i
-
-    def roots(self, of: np.ndarray) -> np.ndarray:
-        at = self.parent[of]
-        while not np.array_equal(up := self.parent[at], at):
-            at = up
-        return at
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        self.parent[max(i, j)] = min(i, j)
-        return i != j
-
-
 class _Overlaps:
     """Sizes of intersections of one set with many, through an inverted index over the cluster's shingles."""
 
@@ -136,43 +127,42 @@ class _Overlaps:
 
 
 def forest(vectors: np.ndarray, sizes: np.ndarray, percent: int, sets: list[np.ndarray] | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the survivors' graph, or, given the sets, of the exact links; points of one group are
-    taken as joined already."""
+    """Links that span the survivors' graph, or, given the sets, the exact links; points of one group are taken as
+    joined already.  What a search reaches leaves the tree, so the points of one large group are not compared in pairs."""
     if len(sizes) < 2:
         return []
     tree = CountTree(vectors, sizes, percent)
     own = [sets[i] for i in tree.order] if sets is not None else None
-    overlaps = None
-    union, out = _Union(len(sizes)), []
+    label = starts = by = None
     if group is not None:
-        _, first, label = np.unique(group[tree.order], return_index=True, return_inverse=True)
-        union.parent = first[label]
-    for i in range(len(sizes)):
-        near = tree.search(i)
-        near = near[near < i]
-        if not len(near):
+        _, label, n = np.unique(group[tree.order], return_inverse=True, return_counts=True)
+        by, starts = np.argsort(label, kind="stable"), np.concatenate(([0], np.cumsum(n)))
+    overlaps, out, order = None, [], tree.order
+
+    def reached(places: np.ndarray) -> list[int]:
+        if label is not None:
+            places = np.concatenate([by[starts[g] : starts[g + 1]] for g in np.unique(label[places])])
+        tree.remove(places)
+        return places.tolist()
+
+    for start in range(len(sizes)):
+        if not tree.left[0][start]:
             continue
-        roots = union.roots(near)
-        other = roots != union.find(i)
-        near, roots = near[other], roots[other]
-        if own is None:
-            for j in near[np.unique(roots, return_index=True)[1]].tolist():
-                if union.join(i, j):
-                    out.append((int(tree.order[i]), int(tree.order[j])))
-            continue
-        if len(near) > 24:
-            overlaps = overlaps or _Overlaps(own)
-            both = overlaps.of(i)[near]
-            good = near[100 * both >= percent * (tree.sizes[i] + tree.sizes[near] - both)].tolist()
-        else:
-            good = near.tolist()
-        for j in good:
-            if union.find(i) == union.find(j):
-                continue
-            both = len(np.intersect1d(own[i], own[j], assume_unique=True))
-            if 100 * both >= percent * (len(own[i]) + len(own[j]) - both):
-                union.join(i, j)
-                out.append((int(tree.order[i]), int(tree.order[j])))
+        wait = reached(np.array([start]))
+        while wait and tree.n:
+            i = wait.pop()
+            near = tree.search(i)
+            if own is not None and len(near):
+                if len(near) > 24:
+                    overlaps = overlaps or _Overlaps(own)
+                    both = overlaps.of(i)[near]
+                else:
+                    both = np.array([len(np.intersect1d(own[i], own[j], assume_unique=True)) for j in near])
+                near = near[100 * both >= percent * (tree.sizes[i] + tree.sizes[near] - both)]
+            if len(near):
+                one = near if label is None else near[np.unique(label[near], return_index=True)[1]]
+                out.extend((int(order[i]), int(order[j])) for j in one)
+                wait += reached(near)
     return out
 
 
@@ -196,17 +186,36 @@ def _from_six(blob: bytes) -> np.ndarray:
 class Join:
     """The steps that run in Python workers."""
 
-    def __init__(self, words: int, percent: int, n_buckets: int = 64):
+    def __init__(self, words: int, percent: int, n_buckets: int = 64, common: np.ndarray | None = None):
         self.words, self.percent, self.n_buckets = words, percent, n_buckets
+        self.common = np.zeros(0, np.uint64) if common is None else common  # sorted
 
     def shingles(self, text: str | None) -> np.ndarray:
         return tk.shingle_set(tk.word_hashes(text, lower=True), self.words)
 
     def keys(self, s: np.ndarray) -> np.ndarray:
         """Meeting places of a set: its neighbouring pairs in the stretch that a link must share, 48 bits each."""
+        if len(self.common) and len(s):
+            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
+            last = self.common[at] == s
+            s = np.concatenate((s[~last], s[last]))
         first = s[: 2 * (100 - self.percent) * len(s) // 100 + 2]
         return tk.mix(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[1:]) >> np.uint64(16)
 
+    def counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles (of the first SAMPLE_SHINGLES or so) that several of the texts have, most frequent first."""
+        held, n = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist() if n < SAMPLE_SHINGLES else ():
+                held.append(self.shingles(text)[:SAMPLE_SHINGLES])
+                n += len(held[-1])
+                if n >= SAMPLE_SHINGLES:
+                    break
+        if n:
+            found, times = np.unique(np.concatenate(held), return_counts=True)
+            found = found[np.lexsort((found, -times))][: min(COMMON, int((times >= COMMON_LEAST).sum()))]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["shingle"])
+
     def signatures(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SIG.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
@@ -368,6 +377,15 @@ def _verified(join: Join, clusters: DataFrame, sizes: DataFrame, named: DataFram
     return links.unionByName(scratch.table(_solved(join, tasks, named), "links"))
 
 
+def common_shingles(rows: DataFrame, words: int, percent: int) -> np.ndarray:
+    """Shingles that a sample of about SAMPLE texts finds to be frequent; they only order the search, and any set would
+    give the same links."""
+    total = rows.count()
+    some = rows.where(F.rand(1) * total < SAMPLE).select("text")
+    found = some.coalesce(1) if total <= SAMPLE else some.repartition(1)
+    return np.sort(np.array([r.shingle for r in found.mapInArrow(Join(words, percent).counted, "shingle long").collect()], np.int64).astype(np.uint64))  # COMMON at most
+
+
 def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id that links reach) of every row."""
     spark = docs.sparkSession
@@ -375,7 +393,8 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     scratch = Scratch(spark, "jaccard")
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = rows.where("doc_id is not null")
-    sig = scratch.table(rows.mapInArrow(Join(words, percent).signatures, _SIG), "signatures")
+    common = common_shingles(rows, words, percent)
+    sig = scratch.table(rows.mapInArrow(Join(words, percent, common=common).signatures, _SIG), "signatures")
     join = Join(words, percent, max(64, sig.count() // DOCS_A_BUCKET))
     full = sig.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
