@@ -155,7 +155,8 @@ def exposed_symbols(modules: DataFrame, symbols: DataFrame) -> DataFrame:
     f = modules.select(F.col("name").alias("module"), F.posexplode("files").alias("pos", "file"))
     e = modules.select(F.col("name").alias("module"), F.explode("exported_symbols").alias("symbol"))
     have = symbols.select("file", F.col("name").alias("symbol")).distinct()
-    return e.join(f, "module").join(have, ["file", "symbol"]).groupBy("module", "symbol").agg(F.min_by("file", "pos").alias("file"))
+    own = f.join(have, "file")  # not modules first: that pairs every file of a module with every symbol
+    return own.join(e, ["module", "symbol"]).groupBy("module", "symbol").agg(F.min_by("file", "pos").alias("file"))
 
 
 def merge_history(files: DataFrame, history: DataFrame) -> DataFrame:
