@@ -12,6 +12,7 @@ import re
 import tomllib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -39,8 +40,9 @@ class Folder:
         except (OSError, UnicodeDecodeError):
             return None
 
-    def has(self, folder: str) -> bool:
-        return os.path.isdir(os.path.join(self.root, folder))
+    def having(self, folders: list[str]) -> list[str]:
+        """Those of the folders that are there."""
+        return [x for x in folders if os.path.isdir(os.path.join(self.root, x))]
 
     def folders(self, pattern: str) -> list[str]:
         """Folders that match a glob pattern, in order."""
@@ -66,16 +68,36 @@ class Files:
     def read(self, path: str) -> str | None:
         return self.manifests.get(os.path.normpath(path))
 
-    def _matching(self, regex: str) -> list[str]:
-        """Folders of the files whose path, with a slash at its end, matches."""
+    def _folders(self) -> DataFrame:
+        """d: every folder above a file, once for each file."""
         parts = F.split("path", "/")
         above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-        found = self.files.where(F.size(parts) > 1).select(F.explode(above).alias("d")).where(F.concat("d", F.lit("/")).rlike(f"^{regex}$"))
+        return self.files.where(F.size(parts) > 1).select(F.explode(above).alias("d"))
+
+    def _matching(self, regex: str) -> list[str]:
+        """Folders of the files whose path, with a slash at its end, matches."""
+        found = self._folders().where(F.concat("d", F.lit("/")).rlike(f"^{regex}$"))
         return sorted(r.d for r in found.distinct().collect())  # the folders that a pattern names
 
-    def has(self, folder: str) -> bool:
-        folder = os.path.normpath(folder)
-        return folder == "." or any(m.startswith(folder + "/") for m in self.manifests) or bool(self._matching(re.escape(folder) + "/"))
+    @cached_property
+    def _above(self) -> set[str]:
+        """The folders above the manifests."""
+        out = {"."}
+        for path in self.manifests:
+            while (path := os.path.dirname(path)) and path not in out:
+                out.add(path)
+        return out
+
+    def having(self, folders: list[str]) -> list[str]:
+        """Those of the folders that are there; the ones that hold no manifest are looked up in one join."""
+        plain = {x: os.path.normpath(x) for x in folders}
+        rest = sorted({d for d in plain.values() if d not in self._above})
+        there = set(self._above)
+        if rest:
+            spark = self.files.sparkSession
+            asked = spark.createDataFrame([(d,) for d in rest], "d string")
+            there |= {r.d for r in self._folders().distinct().join(asked, "d", "left_semi").collect()}  # of those that were asked for
+        return [x for x in folders if plain[x] in there]
 
     def folders(self, pattern: str) -> list[str]:
         """Folders that match a glob pattern, in order."""
@@ -150,7 +172,7 @@ def detect_go(tree: Folder | Files) -> Workspace | None:
     plain = re.sub(r"//[^\n]*", "", text)
     listed = [w for block in re.findall(r"^\s*use\s*\(([^)]*)\)", plain, re.M) for w in block.split()] + re.findall(r"^\s*use\s+([^(\s]+)", plain, re.M)
     module = lambda d: (m[1] if (m := re.search(r"^module\s+(\S+)", tree.read(os.path.join(d, "go.mod")) or "", re.M)) else None)
-    dirs = [os.path.normpath(x) for x in listed if tree.has(x)]
+    dirs = [os.path.normpath(x) for x in tree.having(listed)]
     return Workspace("go", tuple((module(d) or d, d) for d in dirs)) if dirs else None
 
 
