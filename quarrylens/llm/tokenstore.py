@@ -55,6 +55,11 @@ _LETTERS = frozenset(re.findall(f"[{_LETTER}]", "".join(map(chr, range(0x250))))
 _BLOCK = 1 << 20  # characters that are encoded together
 
 
+def _odd(text: str) -> bool:
+    """Whether the text has a character that the pieces are not defined for; most ASCII texts need no search."""
+    return not (text.isascii() and text.replace("\n", "").isprintable()) and bool(_ODD.search(text))
+
+
 class _Numbered(dict):
     """Numbers keys in the order in which they are first asked for; new ones are noted."""
 
@@ -121,7 +126,7 @@ class Encoder:
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
-        plain = [self.by_piece and not _ODD.search(t) and not (self.added and self.added.search(t)) for t in texts]
+        plain = [self.by_piece and not _odd(t) and not (self.added and self.added.search(t)) for t in texts]
         rows, parts, counts, pieces = [], {}, np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for i, (t, ok) in enumerate(zip(texts, plain, strict=True)):
             if ok and len(t) <= _BLOCK:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from quarrylens.llm import jaccard
+from quarrylens.llm import jaccard, tokenstore
 from tests.llm import brute
 
 
@@ -57,3 +57,8 @@ def test_a_shared_passage_is_no_meeting_place_and_costs_no_link(spark):
         met.append(next(join.crowded(join.places(signed))).num_rows)
     assert met[1] < met[0] / 3
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs).collect()} == brute.components(rows, 4, 85)
+
+
+def test_odd_characters_are_found_as_by_search():
+    for text in ("", "plain text\nin lines\n", *(f"a{chr(c)}b" for c in range(0x300))):
+        assert tokenstore._odd(text) == bool(tokenstore._ODD.search(text))
