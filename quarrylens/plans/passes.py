@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarrylens.functions import rules
 from quarrylens.operators.diff import drop_prefixes
+from quarrylens.operators.flows import flows
 from quarrylens.operators.graph import KnowledgeGraph, degrees
-from quarrylens.operators.traverse import breadth_first, cycles
+from quarrylens.operators.traverse import cycles
 
 log = logging.getLogger(__name__)
 
@@ -61,19 +62,7 @@ class EntryPointPass:
 
 def process_flows(graph: KnowledgeGraph, entries: DataFrame, most: int = rules.FLOW_DEPTH) -> DataFrame:
     """entry, names (by depth, then name), files_touched, depth and reaches_external of flows longer than a step."""
-    seeds = entries.select("id", F.col("id").alias("entry"))
-    reached = breadth_first(graph.edges, seeds, ("calls",), True, most, key="entry").select("id", "entry", "depth")
-    steps = reached.unionByName(seeds.withColumn("depth", F.lit(0))).join(graph.nodes.select("id", "name", "file", "type"), "id")
-    return (
-        steps.groupBy("entry")
-        .agg(
-            F.transform(F.sort_array(F.collect_list(F.struct("depth", "name", "id"))), lambda x: x["name"]).alias("names"),
-            F.sort_array(F.collect_set("file")).alias("files_touched"),
-            F.max("depth").alias("depth"),
-            F.bool_or(F.col("type") == "external").alias("reaches_external"),
-        )
-        .where(F.size("names") > 1)
-    )
+    return flows(graph.nodes, graph.edges.where(F.col("kind") == "calls").select("src", "dst"), entries, most)
 
 
 class FlowPass:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrylens.functions import rules, scalar as S
 from quarrylens.operators import aggregate as A, diff as D, graph as G, resolve as R, traverse as T
 from quarrylens.plans import passes, views as V
+from quarrylens.session import Scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -482,8 +483,9 @@ def entry_points(spark, sf_dir):
 SELECT entry, string_agg(name, '>' ORDER BY depth, name, id) AS names, coalesce(array_to_string(list_sort(list(DISTINCT file) FILTER (file IS NOT NULL)), ','), '') AS files, max(depth)::INT AS depth, bool_or(type = 'external') AS reaches_external
 FROM w JOIN v_nodes USING (id) GROUP BY entry HAVING count(*) > 1""")
 def process_flows(spark, sf_dir):
-    g = _trade_graph(spark, sf_dir)
-    e = passes.entry_points(G.degrees(g.nodes, g.edges))
+    g, scratch = _trade_graph(spark, sf_dir), Scratch(spark, "trade")
+    g = G.KnowledgeGraph(g.nodes, scratch.table(g.edges, "edges"))  # read several times
+    e = scratch.table(passes.entry_points(G.degrees(g.nodes, g.edges)).select("id"), "entries")
     return passes.process_flows(g, e).select("entry", F.array_join("names", ">").alias("names"), F.array_join("files_touched", ",").alias("files"), "depth", "reaches_external")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quarrylens.engine import Engine
 from quarrylens.functions import rules, scalar as S
-from quarrylens.operators import aggregate as A, diff as D, graph as G, resolve as R, traverse as T
+from quarrylens.operators import aggregate as A, diff as D, flows, graph as G, resolve as R, traverse as T
 from quarrylens.operators.components import components
 from quarrylens.plans import passes
+from quarrylens.session import Scratch
 from quarrylens.sources import gitlog, workspace
 from quarrylens.sources.files import scan
 from quarrylens.streaming.state import FactStore
@@ -208,6 +209,49 @@ def test_flows_with_cycles(spark):
     assert [(r.entry, r.names, r.depth, r.reaches_external) for r in flows] == [("a", ["a", "b", "c", "x"], 3, True)]
 
 
+@pytest.mark.parametrize("held", [0, 6, 2000])
+def test_flows_by_plain_search(spark, monkeypatch, held):
+    """Repeated calls, cycles, calls of ids that are no nodes, equal and null names, null files; whether workers hold names or not."""
+    monkeypatch.setattr(flows, "COMMON", max(held, 1))
+    monkeypatch.setattr(flows, "COMMON_BYTES", 2000 if held else -1)
+    rng = random.Random(5)
+    ids = [f"n{i}" for i in range(40)]
+    nodes = {i: (rng.choice(["external", "symbol", None]), rng.choice([None, "x", "é", "yy", f"f{i}"]), rng.choice([None, "a.ts", "é.ts", "b.ts"])) for i in ids[:34]}
+    calls = [(rng.choice(ids[:30]), rng.choice(ids[:6] if rng.random() < 0.4 else ids)) for _ in range(70)]
+    df = spark.createDataFrame([(i, *v) for i, v in nodes.items()], "id string, type string, name string, file string")
+    e = spark.createDataFrame([(a, b, "calls", 1.0) for a, b in calls] + [("n0", "n33", "uses_type", 1.0)], "src string, dst string, kind string, confidence double")
+    for most in (1, 3, 15):
+        want = {}
+        for start in nodes:
+            seen, level = {start: 0}, {start}
+            for depth in range(1, most + 1):
+                level = {b for a, b in calls if a in level} - set(seen)
+                seen |= dict.fromkeys(level, depth)
+            steps = sorted((d, nodes[i][1] is not None, nodes[i][1] or "", i) for i, d in seen.items() if i in nodes)
+            if len(steps) > 1:
+                files = sorted({nodes[i][2] for *_, i in steps} - {None})
+                want[start] = ([nodes[i][1] for *_, i in steps], files, steps[-1][0], any(nodes[i][0] == "external" for *_, i in steps))
+        got = passes.process_flows(G.KnowledgeGraph(df, e), df, most).collect()
+        assert len(got) == len(want) and {r.entry: (r.names, r.files_touched, r.depth, r.reaches_external) for r in got} == want
+
+
+def test_flows_have_no_row_for_each_step(spark, monkeypatch):
+    """A level of the search stores a row for each entry, however many nodes it reaches."""
+    nodes = spark.range(200).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit("symbol").alias("type"), F.lit("x").alias("name"), F.lit("f").alias("file"))
+    e = nodes.where("id in ('n0', 'n1', 'n2')").select(F.col("id").alias("src")).crossJoin(nodes.select(F.col("id").alias("dst"))).withColumns({"kind": F.lit("calls"), "confidence": F.lit(1.0)})
+    stored, table = [], Scratch.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        if name == "level":
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    got = passes.process_flows(G.KnowledgeGraph(nodes, e), nodes).collect()
+    assert [len(r.names) for r in got] == [200] * 3 and stored and max(stored) <= 3
+
+
 @pytest.mark.parametrize("kind", ["pnpm", "npm", "cargo", "go", "uv"])
 def test_workspaces(spark, tmp_path, kind):
     for name in ("one", "two"):
