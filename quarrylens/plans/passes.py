@@ -60,9 +60,13 @@ class EntryPointPass:
         context.found["entry_points"] = entry_points(degree)
 
 
-def process_flows(graph: KnowledgeGraph, entries: DataFrame, most: int = rules.FLOW_DEPTH) -> DataFrame:
-    """entry, names (by depth, then name), files_touched, depth and reaches_external of flows longer than a step."""
-    return flows(graph.nodes, graph.edges.where(F.col("kind") == "calls").select("src", "dst"), entries, most)
+def process_flows(graph: KnowledgeGraph, entries: DataFrame, most: int = rules.FLOW_DEPTH, degree: DataFrame | None = None) -> DataFrame:
+    """entry, names (by depth, then name), files_touched, depth and reaches_external of flows longer than a step.
+
+    degree: a stored table of degrees(), which saves counting the ends of calls again where all of them are nodes."""
+    if degree is not None and degree.agg(F.sum(F.col("in_degree") + F.col("out_degree"))).first()[0] != 2 * graph.edges.count():
+        degree = None
+    return flows(graph.nodes, graph.edges.where(F.col("kind") == "calls").select("src", "dst"), entries, most, degree)
 
 
 class FlowPass:

@@ -485,8 +485,8 @@ FROM w JOIN v_nodes USING (id) GROUP BY entry HAVING count(*) > 1""")
 def process_flows(spark, sf_dir):
     g, scratch = _trade_graph(spark, sf_dir), Scratch(spark, "trade")
     g = G.KnowledgeGraph(g.nodes, scratch.table(g.edges, "edges"))  # read several times
-    e = scratch.table(passes.entry_points(G.degrees(g.nodes, g.edges)).select("id"), "entries")
-    return passes.process_flows(g, e).select("entry", F.array_join("names", ">").alias("names"), F.array_join("files_touched", ",").alias("files"), "depth", "reaches_external")
+    degree = scratch.table(G.degrees(g.nodes, g.edges), "degrees")
+    return passes.process_flows(g, passes.entry_points(degree), degree=degree).select("entry", F.array_join("names", ">").alias("names"), F.array_join("files_touched", ",").alias("files"), "depth", "reaches_external")
 
 
 @query("""WITH f AS (SELECT o_custkey AS id, list(o_orderpriority ORDER BY o_orderkey) AS names FROM orders GROUP BY 1)

@@ -84,10 +84,11 @@ def trade_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of customers to their orders, of orders to their parts, of parts to the nations that supply them."""
     name = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"))
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    e = table(spark, sf_dir, "orders").select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"))
-    e = e.union(table(spark, sf_dir, "lineitem").select(name("o", "l_orderkey"), name("p", "l_partkey"))).union(li.select(name("p", "l_partkey"), name("n", "s_nationkey")))
-    return e.distinct().select("src", "dst", F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"))
+    pairs = lambda df, of, a, to, b: df.select(a, b).distinct().select(name(of, a).alias("src"), name(to, b).alias("dst"))
+    li = table(spark, sf_dir, "lineitem")
+    supplied = li.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    e = pairs(table(spark, sf_dir, "orders"), "c", "o_custkey", "o", "o_orderkey").union(pairs(li, "o", "l_orderkey", "p", "l_partkey")).union(pairs(supplied, "p", "l_partkey", "n", "s_nationkey"))
+    return e.select("src", "dst", F.lit("calls").alias("kind"), F.lit(1.0).alias("confidence"))
 
 
 TRADE = """v_nodes AS (SELECT 'c' || c_custkey AS id, 'symbol' AS type, c_name AS name, c_mktsegment AS file FROM customer UNION ALL
