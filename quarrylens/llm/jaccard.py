@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from quarrylens.llm import textkit as tk
 from quarrylens.llm.rows import pick
 from quarrylens.operators.components import components
-from quarrylens.session import Scratch, ship_package
+from quarrylens.session import MERGE, Scratch, ship_package
 
 GROUPS = 32
 DOCS_A_BUCKET = 1000  # a bucket gets about as many keys as this many documents have
@@ -347,28 +347,28 @@ class Join:
 def _solved(join: Join, tasks: DataFrame, named: DataFrame) -> DataFrame:
     """Links found in tasks (component, lo, hi, group, doc_id)."""
     by = ["component", "lo", "hi"]
-    rows = tasks.join(named, "doc_id").select(*by, "group", "doc_id", "text")
+    rows = tasks.hint(MERGE).join(named, "doc_id").select(*by, "group", "doc_id", "text")
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(join.solve, "a long, b long")
 
 
 def _verified(join: Join, clusters: DataFrame, sizes: DataFrame, named: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join the documents of each cluster (node, component) as their exact links do."""
-    sized = clusters.join(sizes.withColumnRenamed("doc_id", "node"), "node")
+    sized = clusters.hint(MERGE).join(sizes.withColumnRenamed("doc_id", "node"), "node")
     counts = sized.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("chunks"), F.count(F.lit(1)).alias("docs"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("docs")) < HUB)
-    placed = scratch.table(sized.join(counts, "component").withColumn("i", chunk).withColumn("hub", hub), "clusters")
+    placed = scratch.table(sized.join(counts.hint(MERGE), "component").withColumn("i", chunk).withColumn("hub", hub), "clusters")
     tasks = placed.select("component", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("i"))).alias("lo"), F.lit(0).alias("hi"), F.col("node").alias("group"), F.col("node").alias("doc_id"))
     links = scratch.table(_solved(join, tasks, named), "links")
     large = placed.where("chunks > 1")
     if not large.head(1):
         return links
     joined = components(links).select("node", F.col("component").alias("group"))
-    large = scratch.table(large.join(joined, "node", "left").withColumn("group", F.coalesce("group", "node")), "large")
+    large = scratch.table(large.join(joined.hint(MERGE), "node", "left").withColumn("group", F.coalesce("group", "node")), "large")
     groups = large.groupBy("component", "group").agg(F.sum("n").alias("n"))
     rest = groups.groupBy("component").agg(F.max(F.struct("n", "group")).alias("most"), F.sum("n").alias("all"))
     rest = rest.select("component", F.col("most.group").alias("largest"), F.ceil((F.col("all") - F.col("most.n")) / F.lit(CHUNK)).cast("int").alias("parts")).where("parts > 0")
-    open_ = large.join(rest, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    open_ = large.join(rest.hint(MERGE), "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
     at = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     own = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: at(F.col("i"), k))
     every = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: at(j, F.col("part")))
@@ -398,19 +398,19 @@ def similar_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     join = Join(words, percent, max(64, sig.count() // DOCS_A_BUCKET))
     full = sig.where("n_shingles > 0")
     classes = full.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"))
-    chosen = full.join(classes, ["k1", "k2", "doc_id"], "left_semi")  # ids that are null stand for no class
+    chosen = full.join(classes.hint(MERGE), ["k1", "k2", "doc_id"], "left_semi")  # ids that are null stand for no class
     points = scratch.table(chosen.select("doc_id", F.col("n_shingles").alias("n"), "k1", "counts", "keys"), "points")
     places = points.select("doc_id", "k1", "keys").mapInArrow(join.places, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
     crowded = places.mapInArrow(join.crowded, "place long, doc_id long")
-    met = crowded.join(points.select("doc_id", "n", "counts"), "doc_id").select("place", "doc_id", "n", "counts")
+    met = crowded.join(points.select("doc_id", "n", "counts").hint(MERGE), "doc_id").select("place", "doc_id", "n", "counts")
     survivors = met.repartition("place").sortWithinPartitions("place", "n").mapInArrow(join.meet, "a long, b long").distinct()
     links = _verified(join, components(survivors), points.select("doc_id", "n").distinct(), named, scratch)
     # ids with several sets join the classes of all of them
     several = full.where("doc_id is not null").groupBy("doc_id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("doc_id")
     if several.head(1):
-        own = full.select("doc_id", "k1", "k2").join(several, "doc_id").join(classes.withColumnRenamed("doc_id", "b"), ["k1", "k2"])
+        own = full.select("doc_id", "k1", "k2").join(several.hint(MERGE), "doc_id").join(classes.withColumnRenamed("doc_id", "b").hint(MERGE), ["k1", "k2"])
         links = links.unionByName(own.select(F.col("doc_id").alias("a"), "b"))
     final = components(links).select(F.col("node").alias("doc_id"), "component")
-    named_classes = classes.join(final, "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component_id"))
-    out = sig.select("doc_id", "n_shingles", "k1", "k2").join(scratch.table(named_classes, "classes"), ["k1", "k2"], "left")
+    named_classes = classes.join(final.hint(MERGE), "doc_id", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component_id"))
+    out = sig.select("doc_id", "n_shingles", "k1", "k2").join(scratch.table(named_classes, "classes").hint(MERGE), ["k1", "k2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quarrylens.llm import decontaminate, jaccard, mixing, quality, tokenstore
 from quarrylens.llm.queries import table, tokenizer_path
 from quarrylens.llm.rows import ROW, pack, unpack
-from quarrylens.session import Scratch, release_since, scratch_mark
+from quarrylens.session import MERGE, Scratch, release_since, scratch_mark
 
 #: near copies in the pipeline: five-word shingles, Jaccard of 0.8 or more
 WORDS, PERCENT = 5, 80
@@ -33,7 +33,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         named = named.withColumn("place", F.col("doc_id").cast("long"))
     groups = jaccard.similar_groups(named.select(F.col("place").alias("doc_id"), "text"), WORDS, PERCENT)
     firsts = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("place"))
-    kept = named.join(firsts, "place", "left_semi").drop("place")
+    kept = named.join(firsts.hint(MERGE), "place", "left_semi").drop("place")
     return unpack(kept.unionByName(nameless), docs, "doc_id", "text")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quarrylens.session import Scratch, ship_package
+from quarrylens.session import MERGE, Scratch, ship_package
 
 SMALL = 1_000_000  # links that one task may solve
 
@@ -52,7 +52,7 @@ def _star(links: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
     stored tables, in which Spark splits hot nodes."""
     both = links.union(links.select(F.col("u").alias("v"), F.col("v").alias("u"))) if large else links
     least = both.groupBy("v").agg(F.min("u").alias("m")).select(F.col("v").alias("c"), F.least("v", "m").alias("m"))
-    hung = both.join(least, both["v"] == least["c"]).select(F.col("u").alias("w"), "m", "v")
+    hung = both.join(least.hint(MERGE), both["v"] == least["c"]).select(F.col("u").alias("w"), "m", "v")
     if large:
         out = hung.where(F.col("w") > F.col("v")).select(F.col("w").alias("v"), F.col("m").alias("u"))
     else:
@@ -64,7 +64,7 @@ def _flat(links: DataFrame) -> bool:
     """Whether the links are stars already: each node hangs on one other, which hangs on none."""
     if links.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").head(1):
         return False
-    return not links.join(links.select(F.col("u").alias("v")).distinct(), "v", "left_semi").head(1)
+    return not links.join(links.select(F.col("u").alias("v")).distinct().hint(MERGE), "v", "left_semi").head(1)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

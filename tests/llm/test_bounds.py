@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.llm import decontaminate, fingerprint, jaccard, mixing, pipeline, quality, repeats, secrets, sharding
+from quarrylens.session import Scratch
 from tests.llm import brute
 
 
@@ -238,3 +239,24 @@ def test_of_rows_that_repeat_the_first_by_their_other_columns_stays(spark, sf_sm
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for parts in (1, 3):
         assert sorted(r.source for r in pipeline.near_copy_stage(spark, docs.repartition(parts), sf_small).collect()) == ["a", "z"]
+
+
+def test_near_copies_send_no_table_to_the_driver(spark, sf_small, odd_docs, repeated_docs, monkeypatch):
+    """Whatever Spark's size check would allow, no plan of the stage broadcasts: all its tables grow with the corpus."""
+    plans, real = [], Scratch.table
+
+    def table(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", table)
+    monkeypatch.setattr(jaccard, "CHUNK", 2000)
+    size = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1g")
+    try:
+        for docs in (odd_docs, repeated_docs):
+            plans.append(pipeline.near_copy_stage(spark, docs, sf_small)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set(size, before)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
